@@ -1,0 +1 @@
+"""operators of the graph and source-text engine."""

@@ -1,0 +1 @@
+"""plans of the graph and source-text engine."""

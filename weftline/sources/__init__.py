@@ -1,0 +1 @@
+"""sources of the graph and source-text engine."""

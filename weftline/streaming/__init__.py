@@ -1,0 +1 @@
+"""streaming of the graph and source-text engine."""
