@@ -109,7 +109,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 bytes times 2^bits, whatever the input
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = docs.schema.add("score", "double").add("predicted", "int")
+    schema = docs.schema.add("score", "double").add("predicted", "integer")
 
     def run(batches):
         weights, bias = shared.value
