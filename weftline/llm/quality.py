@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.llm import _words as W
 
@@ -109,7 +110,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 bytes times 2^bits, whatever the input
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = docs.schema.add("score", "double").add("predicted", "integer")
+    schema = T.StructType([*docs.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):
         weights, bias = shared.value
