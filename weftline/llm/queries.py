@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import mixing, quality, sql
+from weftline.llm import decontaminate, mixing, quality, sql
 from weftline.llm._store import workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,11 @@ def _fold(modulus: int):
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.decontaminate(docs, _read(spark, sf_dir, "benchmark")).select("doc_id", *decontaminate.RESULT)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _read(spark, sf_dir, "labels").where(_fold(3) != 1)

@@ -1 +1,27 @@
 """DuckDB SQL of the training-data queries, named as the queries are."""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+op4_decontaminate = rf"""
+WITH item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), pattern AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
+  FROM item, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS r(i) WHERE len(w) > 0
+), doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), spot AS (
+  SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS s
+  FROM doc, (SELECT DISTINCT m FROM pattern), unnest(range(1, len(w) - m + 2)) AS r(i)
+), hit AS (
+  SELECT doc_id, i, spot.m, item_id FROM spot JOIN pattern USING (m, s)
+), word AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hit, unnest(range(0, hit.m)) AS r(k) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
