@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, mixing, quality, sql
-from weftline.llm._store import workspace
+from weftline.llm import decontaminate, mixing, quality, rans, sql
+from weftline.llm._store import materialise, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,22 @@ def _fold(modulus: int):
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+def byte_bpe() -> str:
+    """The definition of the public byte-level BPE tokenizer."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op1_rans(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents") if docs is None else docs
+    where, definition = workspace(spark, "op1"), byte_bpe()
+    tokens = materialise(rans.token_table(docs, definition, end_id=0), where, "tokens")
+    blocks = rans.write(spark, tokens, where, *rans.vocabulary(definition))
+    return rans.read(spark, blocks, where).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.decontaminate(docs, _read(spark, sf_dir, "benchmark")).select("doc_id", *decontaminate.RESULT)
