@@ -186,7 +186,7 @@ class Mix:
     def taken(self) -> DataFrame:
         """Every document with the words that the mix takes of it, repeats counted."""
         per = self.slots.groupBy("sid", "block").agg(F.sort_array(F.collect_list("words")).alias("cuts"))  # as many as passes
-        own = self.pieces().join(per, ["sid", "block"]).select("doc_id", "h", "sid", "start", F.aggregate("cuts", F.lit(0).cast("long"), lambda s, c: s + F.greatest(F.lit(0), F.least(F.col("y"), c) - F.col("x"))).alias("t"))
+        own = self.pieces().join(per.hint("merge"), ["sid", "block"]).select("doc_id", "h", "sid", "start", F.aggregate("cuts", F.lit(0).cast("long"), lambda s, c: s + F.greatest(F.lit(0), F.least(F.col("y"), c) - F.col("x"))).alias("t"))
         key = ["sid", "start"]  # unique among documents with words
         sums = own.groupBy(*key).agg(F.sum("t").alias("taken"))
         some = self.placed.where("size > 0").join(sums, key, "left")
@@ -216,7 +216,7 @@ def mix_texts(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """
     where = workspace(spark, "mix")
     m = Mix(spark, docs, where, **options)
-    hit = m.pieces().join(m.slots, ["sid", "block"]).where("words > x")
+    hit = m.pieces().join(m.slots.hint("merge"), ["sid", "block"]).where("words > x")
     off = F.col("block") * m.block - F.col("start")
     hit = hit.select("doc_id", "source", "h", "sid", "start", "size", "pass", (F.col("x") + off).alias("a"), (F.least("y", "words") + off).alias("b"))
     rows = hit.groupBy("doc_id", "source", "h", "size", "sid", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"))
