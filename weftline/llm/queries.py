@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, mixing, quality, rans, sql
+from weftline.llm import decontaminate, jaccard, mixing, quality, rans, sql
 from weftline.llm._store import materialise, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op1_rans(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) ->
     return rans.read(spark, blocks, where).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.decontaminate(docs, _read(spark, sf_dir, "benchmark")).select("doc_id", *decontaminate.RESULT)
