@@ -1,24 +1,52 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again.
+
+1. quality: documents that the quality classifier rejects go.
+2. near_duplicates: of each group linked by n-gram Jaccard similarity the document with the
+   least id stays (of rows equal in id and text, one).
+3. decontaminate: documents with an occurrence of a benchmark window go.
+4. mix: sources are mixed to their target weights; a row a document and pass, with the
+   words taken of it, so an id may return and another be absent.
+5. tokens: ids are written in rANS blocks, read back, and a row a document is returned.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from weftline.llm import quality
+from weftline.llm import decontaminate, jaccard, mixing, quality, queries
 from weftline.llm._store import materialise, workspace
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 1: documents whose quality score is below one half go."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
 
 
-STAGES = [("quality", keep_good)]
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = jaccard.jaccard_components(docs)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang")
+    return kept.withColumn("_copy", F.row_number().over(copies)).where("_copy = 1").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where("not contaminated").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_texts(spark, docs)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return queries.op1_rans(spark, sf_dir, docs)
+
+
+STAGES = [("quality", keep_good), ("near_duplicates", one_of_each_group), ("decontaminate", drop_contaminated), ("mix", mix_sources), ("tokens", to_tokens)]
 
-#: Training and tokenising have no SQL form; tests compare run() with brute force.
+#: Training, drawing and tokenising have no SQL form; tests compare run() with brute force.
 ORACLE_SQL = None
 
 
