@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, decontaminate, jaccard, mixing, quality, rans, sql
+from weftline.llm import chat, decontaminate, jaccard, language, mixing, quality, rans, sql, token_counts
 from weftline.llm._store import materialise, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,17 +21,17 @@ def _fold(modulus: int):
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
-def byte_bpe() -> str:
-    """The definition of the public byte-level BPE tokenizer."""
+def tokenizer_file(name: str) -> str:
+    """The definition of a public tokenizer."""
     import public_tokenizers
 
-    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
         return f.read()
 
 
 def op1_rans(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     docs = _read(spark, sf_dir, "documents") if docs is None else docs
-    where, definition = workspace(spark, "op1"), byte_bpe()
+    where, definition = workspace(spark, "op1"), tokenizer_file("byte_bpe_50k.json")
     tokens = materialise(rans.token_table(docs, definition, end_id=0), where, "tokens")
     blocks = rans.write(spark, tokens, where, *rans.vocabulary(definition))
     return rans.read(spark, blocks, where).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -53,6 +53,18 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, _read(spark, sf_dir, "benchmark")).select("doc_id", *decontaminate.RESULT)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(_fold(4) == 2, F.lit(False))
+    model = language.train(docs.where(~held_out))
+    return language.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, tokenizer_file("word_bpe_49k.json")).select("doc_id", "n_words", "n_pieces")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _read(spark, sf_dir, "labels").where(_fold(3) != 1)
