@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, decontaminate, jaccard, language, mixing, quality, rans, sql, token_counts
+from weftline.llm import chat, decontaminate, jaccard, language, mixing, neighbours, quality, rans, sql, token_counts
 from weftline.llm._store import materialise, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(spark, _read(spark, sf_dir, "documents"), workspace(spark, "op9")).taken()
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
