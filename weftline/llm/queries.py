@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, decontaminate, jaccard, language, mixing, neighbours, quality, rans, sql, token_counts
+from weftline.llm import chat, decontaminate, jaccard, language, mixing, neighbours, pii, quality, rans, sql, token_counts
 from weftline.llm._store import materialise, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, _read(spark, sf_dir, "benchmark")).select("doc_id", *decontaminate.RESULT)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    net = pii.train(pii.labelled_sample(docs))
+    found = pii.detect(docs, net)
+    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(_fold(4) == 2, F.lit(False))
