@@ -224,22 +224,25 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     group = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.struct(g.alias("g"), F.filter("grams", lambda x: F.pmod(F.shiftright(x, 7), F.lit(GROUPS)) == g).alias("part")))
     segments = vertices.select("sig", "n", F.inline(group)).where(F.size("part") > 0)
     segments = materialise(segments, where, "segments")
-    prefix = vertices.select("sig", "n", "alone", F.posexplode(F.slice("grams", F.lit(1), (F.col("prefix") - F.col("alone")).cast("int"))).alias("k", "gram")).select("gram", "sig", "n", (F.col("alone") + F.col("k")).alias("pos"))
+    prefix = vertices.select("sig", "n", "alone", F.posexplode(F.slice("grams", F.lit(1), (F.col("prefix") - F.col("alone")).cast("int"))).alias("k", "gram")).select("gram", "sig", "n", "alone", (F.col("alone") + F.col("k")).alias("pos"))
     prefix = materialise(prefix, where, "prefix")
 
     links = spark.createDataFrame([], "a long, b long")
     names = links.select(F.col("a").alias("id"), F.col("b").alias("root"))
     for turn in range(3):
         rows = prefix.join(names.withColumnRenamed("id", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        open_ = rows.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("n", "sig")).alias("hub")).where("lo <> hi")
-        rows = rows.join(open_.select("gram", "hub"), "gram")
+        open_ = rows.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        rows = rows.join(open_.select("gram"), "gram", "left_semi")
         if turn < 2:
+            # partners: the one before it, and of its length the one with the least that nobody shares, which lies nearest to the middle of a group
+            rows = rows.withColumn("length", F.floor(F.log("n") / F.log(F.lit(100.0 / percent))))
+            hubs = rows.groupBy("gram", "length").agg(F.min(F.struct("alone", "n", "sig", "root")).alias("hub"))
             near = Window.partitionBy("gram", F.pmod("sig", F.lit(8))).orderBy("root", "n", "sig")
-            rows = rows.withColumn("before", F.lag(F.struct("sig", "n", "root")).over(near))
-            cand = rows.select(F.col("sig").alias("a"), "n", "root", F.explode(F.array(F.struct(F.col("before.sig").alias("b"), F.col("before.n").alias("nb"), F.col("before.root").alias("rb")), F.struct(F.col("hub.sig").alias("b"), F.col("hub.n").alias("nb"), F.lit(None).cast("long").alias("rb")))).alias("p")).select("a", "n", "root", "p.*")
-            cand = cand.where("b is not null and a <> b and (rb is null or rb <> root)").where((F.col("nb") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("nb") * percent))
-            best = cand.groupBy("a", "b").agg(F.count("*").alias("c"))
-            best = best.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))).where("r <= 2")
+            rows = rows.withColumn("before", F.lag(F.struct("alone", "n", "sig", "root")).over(near)).join(hubs, ["gram", "length"])
+            cand = rows.select(F.col("sig").alias("a"), "n", "root", F.explode(F.array("before", "hub")).alias("p")).where("p is not null and p.root <> root")
+            cand = cand.where((F.col("p.n") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("p.n") * percent))
+            best = cand.groupBy("a", F.col("p.sig").alias("b")).agg(F.count("*").alias("c"), F.min("p.alone").alias("u"))
+            best = best.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "u", "b"))).where("r <= 3")
             pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
             x = rows.select("gram", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("pos").alias("i"), F.col("root").alias("ra"))
