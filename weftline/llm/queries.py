@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import chat, decontaminate, jaccard, language, mixing, neighbours, pii, quality, rans, sql, token_counts
-from weftline.llm._store import materialise, workspace
+from weftline.llm._store import drop, materialise, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,7 @@ def op1_rans(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) ->
     where, definition = workspace(spark, "op1"), tokenizer_file("byte_bpe_50k.json")
     tokens = materialise(rans.token_table(docs, definition, end_id=0), where, "tokens")
     blocks = rans.write(spark, tokens, where, *rans.vocabulary(definition))
+    drop(spark, where, "tokens")
     return rans.read(spark, blocks, where).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -208,6 +208,17 @@ def _flat(column: pa.Array, dtype: type) -> np.ndarray:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(dtype)
 
 
+_loaded: dict[str, Tables] = {}
+
+
+def _tables(uri: str) -> Tables:
+    """Read once by each worker."""
+    if uri not in _loaded:
+        _loaded.clear()
+        _loaded[uri] = Tables.load(get(uri))
+    return _loaded[uri]
+
+
 def write(spark: SparkSession, tokens: DataFrame, where: str, vocabulary: int, dtype: type, shard_tokens: int = 8_000_000, block_tokens: int = BLOCK, lanes: int = LANES) -> list[dict]:
     """Writes the files under where; returns where each block is, in document order."""
     tables = Tables.of_counts(c := counts(tokens, vocabulary, dtype))
@@ -216,7 +227,7 @@ def write(spark: SparkSession, tokens: DataFrame, where: str, vocabulary: int, d
     ordered = tokens.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
 
     def run(batches):
-        t = Tables.load(get(f"{where}/tables"))
+        t = _tables(f"{where}/tables")
         blocks, sizes, ordinals = [], [], []
         held, docs = np.zeros(0, dtype), deque()
         n_docs = n_ids = done = 0
@@ -274,10 +285,10 @@ def read(spark: SparkSession, blocks: list[dict], where: str) -> DataFrame:
     """(ordinal, doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files block by block."""
     if not blocks:
         return spark.createDataFrame([], "ordinal long, doc_id long, start long, n_tokens long, ids_crc32 long")
-    table = spark.createDataFrame(pa.Table.from_pylist(blocks)).repartition(min(len(blocks), 4096))
+    table = spark.createDataFrame(pa.Table.from_pylist(blocks)).repartition(-(-len(blocks) // 8))
 
     def run(batches):
-        t = Tables.load(get(f"{where}/tables"))
+        t = _tables(f"{where}/tables")
         for batch in batches:
             for b in batch.to_pylist():
                 fs, path = open_fs(b["uri"])
