@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from weftline.plans import q_graph  # noqa: F401
