@@ -2,3 +2,4 @@
 
 from weftline.plans import q_graph  # noqa: F401
 from weftline.plans import q_text  # noqa: F401
+from weftline.plans import q_code  # noqa: F401

@@ -66,7 +66,8 @@ def _log(spark, sf):
 
 @register("scan_git_log", COMMITS)
 def scan_git_log(spark, sf):
-    return readers.git_log(_log(spark, sf))
+    log = readers.git_log(_log(spark, sf))
+    return log.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @register("file_churn", f"SELECT path, count(DISTINCT hash) AS commits, CAST(sum(insertions) AS BIGINT) AS insertions, CAST(sum(deletions) AS BIGINT) AS deletions, min(ts) AS first_ts, max(ts) AS last_ts FROM ({COMMITS}) GROUP BY path")
@@ -315,12 +316,11 @@ def norm(c: str) -> str:
     return f"CASE WHEN regexp_replace({c}, '[{{}}/]', '', 'g') <> '' THEN {c} END"
 
 
-URLS = "SELECT url FROM {pages} UNION ALL SELECT '/api/orders/{id}/' UNION ALL SELECT 'api/orders/<int:id>' UNION ALL SELECT '/api/orders/:id?' UNION ALL SELECT '${id}' UNION ALL SELECT '/'"
+URLS = "SELECT url FROM pages UNION ALL SELECT '/api/orders/{id}/' UNION ALL SELECT 'api/orders/<int:id>' UNION ALL SELECT '/api/orders/:id?' UNION ALL SELECT '${id}' UNION ALL SELECT '/'"
 
 
-@register("norm_path", f"SELECT url, {norm('url')} AS path FROM ({A.text(URLS)})")
+@register("norm_path", f"SELECT url, {norm('url')} AS path FROM ({URLS})")
 def norm_path(spark, sf):
-    # the braces of a URL are no table here
     u = A.table(spark, sf, "pages").select("url").unionByName(spark.createDataFrame([("/api/orders/{id}/",), ("api/orders/<int:id>",), ("/api/orders/:id?",), ("${id}",), ("/",)], "url string"))
     return u.select("url", X.norm_path(F.col("url")).alias("path"))
 
