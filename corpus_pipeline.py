@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, jaccard, mixing, quality, queries
 from weftline.llm._store import materialise, workspace
+from weftline.ship import shipping
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return queries.op1_rans(spark, sf_dir, docs)
 
 
-STAGES = [("quality", keep_good), ("near_duplicates", one_of_each_group), ("decontaminate", drop_contaminated), ("mix", mix_sources), ("tokens", to_tokens)]
+STAGES = [(name, shipping(f)) for name, f in (("quality", keep_good), ("near_duplicates", one_of_each_group), ("decontaminate", drop_contaminated), ("mix", mix_sources), ("tokens", to_tokens))]
 
 #: Training, drawing and tokenising have no SQL form; tests compare run() with brute force.
 ORACLE_SQL = None

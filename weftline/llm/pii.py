@@ -353,7 +353,10 @@ def written(spans: list[Span]) -> str:
 def labelled_sample(docs: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
     """At most max_train texts (of up to 5,000 characters) with a digit or an @, those with the smallest hash of their id."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").rlike("[0-9@]") & (F.length("_text") <= 5000))
-    return [r["_text"] for r in rows.orderBy(F.crc32(F.col("_id").cast("string")), "_id", "_text").limit(max_train).collect()]
+    order = F.crc32(F.col("_id").cast("string"))
+    keys = rows.select("_id").where("_id is not null").distinct().orderBy(order, "_id").limit(max_train)  # ids first: tasks send no texts but the chosen
+    chosen = rows.join(F.broadcast(keys), "_id").orderBy(order, "_id", "_text")
+    return [r["_text"] for r in chosen.limit(max_train).collect()]
 
 
 def detect(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
