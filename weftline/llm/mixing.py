@@ -222,14 +222,14 @@ def mix_texts(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     rows = hit.groupBy("doc_id", "source", "h", "size", "sid", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"))
     rows = rows.groupBy("doc_id", "source", "h", "size").agg(F.collect_list("runs").alias("all_runs"))
     texts = docs.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_h"])
-    both = texts.join(rows.select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("h").alias("_h2"), "size", "all_runs"), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_h") == F.col("_h2")))
+    both = texts.join(rows.select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("h").alias("_h2"), F.col("size").alias("_size"), F.col("all_runs").alias("_runs")), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_h") == F.col("_h2")))
     out = docs.schema
     word = re.compile(WORD)
 
     def cut(batches):
         for batch in batches:
             keep, texts_out = [], []
-            spans_of, runs_of, sizes = batch.column("text"), batch.column("all_runs"), batch.column("size")
+            spans_of, runs_of, sizes = batch.column("text"), batch.column("_runs"), batch.column("_size")
             for i in range(batch.num_rows):
                 text, size, spans = spans_of[i].as_py(), sizes[i].as_py(), None
                 for runs in runs_of[i].as_py():
@@ -253,4 +253,4 @@ def mix_texts(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
 
     if "n_chars" in out.names:
         both = both.withColumn("n_chars", F.col("n_chars").cast("long"))
-    return both.select(*out.names, "size", "all_runs").mapInArrow(cut, both.select(*out.names).schema)
+    return both.select(*out.names, "_size", "_runs").mapInArrow(cut, both.select(*out.names).schema)
