@@ -9,8 +9,8 @@ constant time on average, and the popped counts add up to the number of greedy
 longest-match pieces, which are never built.
 
 Words: the text lower-cased; runs of word characters, and every other visible
-character alone. Symbols are the bytes of a word, and END (256) after them where the
-vocabulary marks word ends. A word that cannot be split counts as one piece (unknown).
+character alone. Symbols are the bytes of a word. A word that cannot be split counts
+as one piece (unknown).
 Counts by word are kept in a bounded table for each worker.
 
 Null and empty texts have no words and no pieces. Repeated rows are counted each.
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORDS = re.compile(r"\w+|[^\w\s]")
-END = 256
 MEMO = 1_000_000
 
 
@@ -42,36 +41,32 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def read_vocabulary(definition: str, end_mark: str = "</w>") -> tuple[list[tuple[int, ...]], list[tuple[int, ...]], bool]:
-    """Initial pieces, continuing pieces and whether words end in END, of a tokenizers file (word-piece or byte-level)."""
+def read_vocabulary(definition: str, end_mark: str = "</w>") -> tuple[list[tuple[int, ...]], list[tuple[int, ...]]]:
+    """Initial and continuing pieces of a tokenizers file. Word-piece: by its prefix. Byte-level: every piece may
+    stand anywhere in a word, and marks of word ends are dropped, so that no word lacks a split."""
     model = json.loads(definition)["model"]
     vocabulary = model["vocab"] if isinstance(model["vocab"], dict) else {p: i for i, (p, _) in enumerate(model["vocab"])}
     if model.get("type") == "WordPiece":
         prefix = model.get("continuing_subword_prefix", "##")
         initial = [tuple(p.encode()) for p in vocabulary if not p.startswith(prefix)]
-        return initial, [tuple(p[len(prefix) :].encode()) for p in vocabulary if p.startswith(prefix) and p != prefix], False
-    table, out, marked = byte_symbols(), [], False
-    for p in vocabulary:
-        end = p.endswith(end_mark) and len(p) > len(end_mark)
-        body = p[: -len(end_mark)] if end else p
-        if body and all(c in table for c in body):
-            marked |= end
-            out.append((*(table[c] for c in body), *([END] if end else [])))
-    return out, out, marked
+        return initial, [tuple(p[len(prefix) :].encode()) for p in vocabulary if p.startswith(prefix) and p != prefix]
+    table = byte_symbols()
+    bodies = {p.removesuffix(end_mark) for p in vocabulary}
+    out = [tuple(table[c] for c in p) for p in bodies if p and all(c in table for c in p)]
+    return out, out
 
 
 class Automaton:
-    """child: (node * 257 + symbol) to node; fail: failure links, -1 for none; pops: pieces popped by the link."""
+    """child: (node * 256 + symbol) to node; fail: failure links, -1 for none; pops: pieces popped by the link."""
 
-    def __init__(self, initial: Iterable[tuple[int, ...]], continuing: Iterable[tuple[int, ...]], ends: bool):
+    def __init__(self, initial: Iterable[tuple[int, ...]], continuing: Iterable[tuple[int, ...]]):
         self.child: dict[int, int] = {}
         self.fail, self.pops, accept = [-1, -1], [0, 0], [False, False]
-        self.ends = ends
         for root, pieces in ((0, initial), (1, continuing)):
             for piece in pieces:
                 u = root
                 for s in piece:
-                    key = u * 257 + s
+                    key = u * 256 + s
                     if key not in self.child:
                         self.child[key] = len(self.fail)
                         self.fail.append(-1)
@@ -81,7 +76,7 @@ class Automaton:
                 accept[u] |= u > 1
         below: dict[int, list[tuple[int, int]]] = {}
         for key, v in self.child.items():
-            below.setdefault(key // 257, []).append((key % 257, v))
+            below.setdefault(key // 256, []).append((key % 256, v))
         queue = deque((0, 1))
         while queue:
             u = queue.popleft()
@@ -90,18 +85,18 @@ class Automaton:
                     self.fail[v], self.pops[v] = 1, 1
                 else:
                     z, n = self.fail[u], self.pops[u]
-                    while z != -1 and z * 257 + s not in self.child:
+                    while z != -1 and z * 256 + s not in self.child:
                         n, z = n + self.pops[z], self.fail[z]
                     if z != -1:
-                        self.fail[v], self.pops[v] = self.child[z * 257 + s], n
+                        self.fail[v], self.pops[v] = self.child[z * 256 + s], n
                 queue.append(v)
 
     def count(self, word: bytes) -> int:
         """Greedy pieces of a word; 1 if it has no split."""
         child, fail, pops = self.child, self.fail, self.pops
         u = total = 0
-        for s in (*word, END) if self.ends else word:
-            while (v := child.get(u * 257 + s)) is None:
+        for s in word:
+            while (v := child.get(u * 256 + s)) is None:
                 if fail[u] == -1:
                     return 1
                 total += pops[u]
