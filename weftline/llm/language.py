@@ -130,6 +130,8 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", t
         yield pa.RecordBatch.from_arrays([pa.array([model.names], pa.list_(pa.string())), pa.array([model.weights.tobytes()]), pa.array([model.scale.tolist()], pa.list_(pa.float64())), pa.array([model.trust.tolist()], pa.list_(pa.float64()))], ["names", "weights", "scale", "trust"])
 
     r = sample.mapInArrow(run, "names array<string>, weights binary, scale array<double>, trust array<double>").first()
+    if r is None:  # without rows there is no task
+        return fit(pa.array([], pa.string()), [])
     names = list(r["names"])
     code = codewords(len(names)) if len(names) > 1 else np.zeros((len(names), 0), np.int8)
     return Model(names, code, np.frombuffer(r["weights"], np.float32).reshape(1 << BITS, -1), np.array(r["scale"]), np.array(r["trust"]))

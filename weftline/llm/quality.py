@@ -99,8 +99,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, bits:
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32).tobytes()]), pa.array([w[at].tobytes()]), pa.array([b])], ["slots", "weights", "bias"])
 
-    row = sample.select("_id", "_text", "_y").mapInArrow(run, "slots binary, weights binary, bias double").collect()[0]
+    row = sample.select("_id", "_text", "_y").mapInArrow(run, "slots binary, weights binary, bias double").first()
     weights = np.zeros(1 << bits, np.float32)
+    if row is None:  # without rows there is no task
+        return weights, 0.0
     weights[np.frombuffer(row["slots"], np.int32)] = np.frombuffer(row["weights"], np.float32)
     return weights, row["bias"]
 
