@@ -1,4 +1,4 @@
-"""Sends this package to the executors, once a Spark context."""
+"""Sends this package to the executors, once a Spark context, and bounds the Arrow batches that Python workers get."""
 
 from __future__ import annotations
 
@@ -11,8 +11,13 @@ from functools import wraps
 from pyspark.sql import SparkSession
 
 
+BATCH, SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
+    if spark.conf.get(BATCH, None) == SPARKS_OWN:  # nobody chose: long texts come in smaller batches
+        spark.conf.set(BATCH, "8m")
     if getattr(sc, "_weftline_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
