@@ -8,9 +8,13 @@ machine) a folder is made and set.
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from functools import wraps
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +47,22 @@ def drop(spark: SparkSession, where: str, *names: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(run):
+    """A task's function over batches that gives memory back when it ends: workers live on, and what they keep adds up."""
+
+    @wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """Any store that pyarrow knows (file, hdfs, s3, gs), and the path within it."""
     return pafs.FileSystem.from_uri(uri)

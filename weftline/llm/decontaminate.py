@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import _words as W
-from weftline.llm._store import get, put, workspace
+from weftline.llm._store import get, put, tidy, workspace
 
 WINDOW = 10
 SHARD_ITEMS = 20_000
@@ -133,7 +133,7 @@ def compile_benchmark(benchmark: DataFrame, where: str, window: int = WINDOW, id
             put(uri, pickle.dumps(compile_items(ids, pa.chunked_array(texts), window)))
             yield pa.RecordBatch.from_arrays([pa.array([uri])], ["uri"])
 
-    return sorted(r["uri"] for r in items.repartition(shards).mapInArrow(run, "uri string").collect())
+    return sorted(r["uri"] for r in items.repartition(shards).mapInArrow(tidy(run), "uri string").collect())
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_items: int = SHARD_ITEMS) -> DataFrame:
@@ -187,4 +187,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
             arrays += [pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(np.concatenate(out[4]) if out[4] else [], pa.bool_()), pa.array(out[5], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*kept, *(a for a, _ in added)])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

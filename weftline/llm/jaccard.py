@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import _words as W
 from weftline.llm._components import components
-from weftline.llm._store import drop, materialise, workspace
+from weftline.llm._store import drop, materialise, tidy, workspace
 
 WIDTH, PERCENT = 5, 75
 FRAGMENT = 3_000_000
@@ -216,9 +216,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     fragments = max(8, size // 6 // FRAGMENT)
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(slots, fragments)
-    scattered = docs.mapInArrow(_scatter(width, fragments), ROW)
-    counted = scattered.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_count, ROW)
-    listed = counted.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_gather(percent), "doc_id long, sig long, n long, alone long, prefix long, grams array<long>")
+    scattered = docs.mapInArrow(tidy(_scatter(width, fragments)), ROW)
+    counted = scattered.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(tidy(_count), ROW)
+    listed = counted.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(tidy(_gather(percent)), "doc_id long, sig long, n long, alone long, prefix long, grams array<long>")
     listed = materialise(listed, where, "listed")
     vertices = materialise(listed.where("grams is not null").dropDuplicates(["sig"]), where, "vertices")
     group = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.struct(g.alias("g"), F.filter("grams", lambda x: F.pmod(F.shiftright(x, 7), F.lit(GROUPS)) == g).alias("part")))

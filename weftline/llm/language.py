@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import _words as W
+from weftline.llm._store import tidy
 
 BITS, SIZES, MAX_TRAIN, SLICE = 16, (2, 3, 4), 6_000, 500_000
 _KEEP = np.full(256, 32, np.uint8)
@@ -129,7 +130,7 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", t
         model = fit(t.column("_text"), t.column("_lang").to_pylist()) if t else fit(pa.array([], pa.string()), [])
         yield pa.RecordBatch.from_arrays([pa.array([model.names], pa.list_(pa.string())), pa.array([model.weights.tobytes()]), pa.array([model.scale.tolist()], pa.list_(pa.float64())), pa.array([model.trust.tolist()], pa.list_(pa.float64()))], ["names", "weights", "scale", "trust"])
 
-    r = sample.mapInArrow(run, "names array<string>, weights binary, scale array<double>, trust array<double>").first()
+    r = sample.mapInArrow(tidy(run), "names array<string>, weights binary, scale array<double>, trust array<double>").first()
     if r is None:  # without rows there is no task
         return fit(pa.array([], pa.string()), [])
     names = list(r["names"])
@@ -166,4 +167,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", close: float
                 unsure += (letter & (top[:, -1] - (top[:, -2] if top.shape[1] > 1 else 0) < close)).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], [*kept, *added])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm._store import materialise, workspace
+from weftline.llm._store import materialise, tidy, workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 256
@@ -175,7 +175,7 @@ class Mix:
                     pos = np.random.default_rng([seed, row["shard"]]).permutation(len(sid))
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(sid), row["shard"]), pos, sid, turn, at, words)], ["shard", "slot", "sid", "pass", "block", "words"])
 
-        self.slots = spark.createDataFrame(table, "shard long, first array<long>, count array<long>").repartition(min(64, max(1, len(counts)))).mapInArrow(slots, "shard long, slot long, sid long, pass long, block long, words long")
+        self.slots = spark.createDataFrame(table, "shard long, first array<long>, count array<long>").repartition(min(64, max(1, len(counts)))).mapInArrow(tidy(slots), "shard long, slot long, sid long, pass long, block long, words long")
 
     def pieces(self) -> DataFrame:
         """(document, block it reaches, [x, y) of that block that is its own)."""
@@ -253,4 +253,4 @@ def mix_texts(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
 
     if "n_chars" in out.names:
         both = both.withColumn("n_chars", F.col("n_chars").cast("long"))
-    return both.select(*out.names, "_size", "_runs").mapInArrow(cut, both.select(*out.names).schema)
+    return both.select(*out.names, "_size", "_runs").mapInArrow(tidy(cut), both.select(*out.names).schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm._components import components, union
-from weftline.llm._store import materialise, workspace
+from weftline.llm._store import materialise, tidy, workspace
 
 COSINE, SLACK = 0.9, 0.15
 CELL, CAP, SAMPLE, OVERLAP = 1500, 4000, 20_000, 3
@@ -219,7 +219,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, slack: float = S
     """(vec_id, n_links, component_id, kept) for every row of vectors."""
     spark = vectors.sparkSession
     where = workspace(spark, "neighbours")
-    raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(units, "vec_id long, u binary")
+    raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(tidy(units), "vec_id long, u binary")
     raw = materialise(raw.withColumn("nid", F.xxhash64("u")), where, "units")
     width = raw.where("u is not null").groupBy(F.octet_length("u").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).limit(1).collect()
     width = width[0]["w"] // 8 if width else 0
@@ -240,7 +240,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, slack: float = S
             t = batch.take(take)
             yield pa.RecordBatch.from_arrays([pa.array(top.ravel()), pa.array(np.repeat(top[:, 0], k)), t.column("nid"), t.column("u"), t.column("mult")], ["cell", "home", "nid", "u", "mult"])
 
-    placed = nodes.mapInArrow(assign, "cell long, home long, nid long, u binary, mult long")
+    placed = nodes.mapInArrow(tidy(assign), "cell long, home long, nid long, u binary, mult long")
     placed = materialise(placed, where, "placed")
     sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / cap).alias("subs"), F.ceil(F.sum(F.when(F.col("cell") == F.col("home"), 1).otherwise(0)) / cap).alias("blocks"))
     placed = materialise(placed.join(sizes.hint("shuffle_hash"), "cell").withColumn("sub", F.pmod(F.shiftright("nid", 9), "subs")), where, "shards")
@@ -278,6 +278,6 @@ def audit(vectors: DataFrame, result: DataFrame, cosine: float = COSINE, every:
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             yield pa.RecordBatch.from_arrays([pa.array(v["vec_id"].to_numpy()), pa.array((q @ x.T >= cosine).sum(1))], ["vec_id", "k"])
 
-    true = vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, k long").groupBy("vec_id").agg((F.sum("k") - 1).alias("k"))
+    true = vectors.select("vec_id", "embedding").mapInArrow(tidy(run), "vec_id long, k long").groupBy("vec_id").agg((F.sum("k") - 1).alias("k"))
     both = true.join(result, "vec_id").agg(F.sum(F.least("k", "n_links")).alias("got"), F.sum("k").alias("all")).first()
     return 1.0 if not both["all"] else both["got"] / both["all"]

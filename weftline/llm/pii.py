@@ -6,8 +6,8 @@ overlapping, cover all that lies within half a window of one. A small network (n
 only) scores tags B/I by kind for every character, Viterbi decodes each window, and
 the windows are reconciled over the whole text: where spans of several windows meet,
 the one that lies farthest from its window's edges wins, then the longer one. A span is
-added if it meets no base span, the network is sure of all its characters, and its
-characters pass the check of its kind (Luhn, parts to 255, number of digits).
+added, moved to whole words or numbers, if it meets no base span, the network is sure
+of it (mean probability of its tags), and its characters pass the check of its kind (Luhn, parts to 255, number of digits).
 
 The network is trained on the driver from labelled spans: sentences made up around
 made-up data in many spellings, and the base spans of at most ``max_train`` documents.
@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import _words as W
+from weftline.llm._store import tidy
 
 KINDS = ("email", "ip", "card", "phone")
-WIDTH, MAX_TRAIN, SURE = 64, 200, 0.9
+WIDTH, MAX_TRAIN, SURE = 64, 200, 0.6
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -214,20 +215,25 @@ class Network:
         return float((z.sum() - gold) / n), grad
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags of each window, and how sure each one is by itself."""
-        s = self.scores(x)
+        """Best tags of each window, and the probability of each among all sequences."""
+        s, tr = self.scores(x), self.p["t"]
         n, t, _ = s.shape
         best, link = s[:, 0] + self.p["s"], np.zeros(s.shape, np.int64)
+        al, be = np.zeros_like(s), np.zeros_like(s)
+        al[:, 0] = best
         for k in range(1, t):
-            step = best[:, :, None] + self.p["t"]
+            step = best[:, :, None] + tr
             link[:, k] = step.argmax(1)
             best = step.max(1) + s[:, k]
+            al[:, k] = s[:, k] + _lse(al[:, k - 1][:, :, None] + tr, 1)
+        for k in range(t - 2, -1, -1):
+            be[:, k] = _lse((s[:, k + 1] + be[:, k + 1])[:, None, :] + tr, 2)
         y = np.zeros((n, t), np.int64)
         y[:, -1] = best.argmax(1)
         for k in range(t - 1, 0, -1):
             y[:, k - 1] = link[np.arange(n), k, y[:, k]]
-        p = np.exp(s - s.max(2, keepdims=True))
-        return y, np.take_along_axis(p / p.sum(2, keepdims=True), y[:, :, None], 2)[:, :, 0]
+        p = np.exp(al + be - _lse(al[:, -1], 1)[:, None, None])
+        return y, np.take_along_axis(p, y[:, :, None], 2)[:, :, 0]
 
 
 def _lse(a: np.ndarray, axis: int) -> np.ndarray:
@@ -261,7 +267,7 @@ def made_up(r: random.Random) -> tuple[str, list[Span]]:
     return left + s + right, [(kind, len(left), len(left) + len(s))] if kind >= 0 else []
 
 
-def train(texts: list[str], steps: int = 260, batch: int = 32, seed: int = 4) -> Network:
+def train(texts: list[str], steps: int = 450, batch: int = 32, seed: int = 4) -> Network:
     """texts: documents whose base spans serve as labels beside the made-up ones."""
     r, net, pool = random.Random(seed), Network(), []
     for text in texts:
@@ -328,10 +334,10 @@ def added_spans(net: Network, texts: list[str], bases: list[list[Span]], sure: f
                     kind, e = (y[k, t] - 1) // 2, t + 1
                     while e < WIDTH and y[k, e] == 2 + 2 * kind:
                         e += 1
-                    s = texts[i][a + t : a + e]
                     inner = (t > 0 or a == 0) and (e < WIDTH or a + e >= len(texts[i]))
-                    if inner and p[k, t:e].min() >= sure and valid(kind, s) and s == s.strip():
-                        found.setdefault(i, []).append((-min(t, WIDTH - e), -(e - t), a + t, a + e, int(kind)))
+                    b, f = snapped(texts[i], int(kind), a + t, min(a + e, len(texts[i])))
+                    if inner and p[k, t:e].mean() >= sure and b < f and valid(kind, texts[i][b:f]):
+                        found.setdefault(i, []).append((-min(t, WIDTH - e), -(f - b), b, f, int(kind)))
                     t = e
                 else:
                     t += 1
@@ -346,6 +352,22 @@ def added_spans(net: Network, texts: list[str], bases: list[list[Span]], sure: f
     return out
 
 
+def snapped(text: str, kind: int, a: int, b: int) -> tuple[int, int]:
+    """A span moved to whole words or numbers, without signs around it."""
+    inside = (lambda c: c.isalnum() or c in "._%+-") if kind == 0 else str.isdigit
+    while a > 0 and inside(text[a - 1]):
+        a -= 1
+    while b < len(text) and (text[b].isalnum() if kind == 0 else text[b].isdigit()):
+        b += 1
+    while a < b and not text[a].isalnum() and not (kind == 3 and text[a] in "+("):
+        a += 1
+    while a < b and not text[b - 1].isalnum():
+        b -= 1
+    if kind == 3 and a > 0 and text[a - 1] in "+(":
+        a -= 1
+    return a, b
+
+
 def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
@@ -382,4 +404,4 @@ def detect(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
             columns += [pa.array([written(x) for x in base], pa.string()), pa.array([written(x + y) for x, y in zip(base, extra, strict=True)], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*kept, *added])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import _words as W
+from weftline.llm._store import tidy
 
 BITS = 20
 MAX_TRAIN = 6_000
@@ -99,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, bits:
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32).tobytes()]), pa.array([w[at].tobytes()]), pa.array([b])], ["slots", "weights", "bias"])
 
-    row = sample.select("_id", "_text", "_y").mapInArrow(run, "slots binary, weights binary, bias double").first()
+    row = sample.select("_id", "_text", "_y").mapInArrow(tidy(run), "slots binary, weights binary, bias double").first()
     weights = np.zeros(1 << bits, np.float32)
     if row is None:  # without rows there is no task
         return weights, 0.0
@@ -124,4 +125,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
             p = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm._store import get, materialise, open_fs, put
+from weftline.llm._store import get, materialise, open_fs, put, tidy
 from weftline.llm.tokenise import Encoder
 
 LOW, WORD = np.uint64(1 << 31), np.uint64(32)
@@ -165,7 +165,7 @@ def token_table(docs: DataFrame, definition: str, end_id: int | None = 0, id_col
                 data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(out) - 1, [None, pa.py_buffer((out * size).astype(np.int64)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(out) - 1), data.cast(pa.binary()), pa.array(np.diff(out).astype(np.int64))], ["doc_id", "ids", "n"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary, n long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, ids binary, n long")
 
 
 _encoders: dict[int, Encoder] = {}
@@ -197,7 +197,7 @@ def counts(tokens: DataFrame, vocabulary: int, dtype: type) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["token", "n"])
 
     out = np.zeros(vocabulary, np.int64)
-    for row in tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow().to_batches():
+    for row in tokens.select("ids").mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow().to_batches():
         out[row.column(0).to_numpy()] = row.column(1).to_numpy()
     return out
 
@@ -269,7 +269,7 @@ def write(spark: SparkSession, tokens: DataFrame, where: str, vocabulary: int, d
             put(uri, blocks)
             yield pa.RecordBatch.from_pylist([{"shard": k, "uri": uri, "n_docs": n_docs, "n_ids": n_ids, "bytes": [len(b) for b in blocks], "sizes": sizes, "ordinals": ordinals}], MANIFEST)
 
-    found = ordered.select("doc_id", "ids", "n").mapInArrow(run, "shard int, uri string, n_docs long, n_ids long, bytes array<long>, sizes array<long>, ordinals array<long>").collect()  # a row a file
+    found = ordered.select("doc_id", "ids", "n").mapInArrow(tidy(run), "shard int, uri string, n_docs long, n_ids long, bytes array<long>, sizes array<long>, ordinals array<long>").collect()  # a row a file
     out, start, first = [], 0, 0
     for row in sorted(found, key=lambda r: r["shard"]):
         at = 0
@@ -304,7 +304,7 @@ def read(spark: SparkSession, blocks: list[dict], where: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * (e - c) : 4 * e]) for e, c in zip(end.tolist(), many.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(b["ordinal"] + np.arange(len(many))), pa.array([d for d, _ in block.docs], pa.int64()), pa.array(b["start"] + end - many), pa.array(many), pa.array(crc, pa.int64()), pa.array(~cut)], ["ordinal", "doc_id", "start", "n_tokens", "ids_crc32", "whole"])
 
-    parts = materialise(table.mapInArrow(run, "ordinal long, doc_id long, start long, n_tokens long, ids_crc32 long, whole boolean"), where, "read")
+    parts = materialise(table.mapInArrow(tidy(run), "ordinal long, doc_id long, start long, n_tokens long, ids_crc32 long, whole boolean"), where, "read")
     names = ["ordinal", "doc_id", "start", "n_tokens", "ids_crc32"]
     cut = parts.where("not whole").groupBy("ordinal").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("start", "n_tokens", "ids_crc32"))).alias("parts"))
 
@@ -318,7 +318,7 @@ def read(spark: SparkSession, blocks: list[dict], where: str) -> DataFrame:
                 crc.append(total)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:-1]), pa.array(crc, pa.int64())], names)
 
-    joined = cut.mapInArrow(join, "ordinal long, doc_id long, start long, n_tokens long, ids_crc32 long")
+    joined = cut.mapInArrow(tidy(join), "ordinal long, doc_id long, start long, n_tokens long, ids_crc32 long")
     return parts.where("whole").select(*names).unionAll(joined)
 
 

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.llm._store import tidy
+
 WORDS = re.compile(r"\w+|[^\w\s]")
 MEMO = 1_000_000
 
@@ -143,4 +145,4 @@ def token_counts(docs: DataFrame, definition: str, text_col: str = "text") -> Da
                 n_pieces.append(sum(map(memo.__getitem__, found)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words, pa.int64()), pa.array(n_pieces, pa.int64())], [*kept, "n_words", "n_pieces"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

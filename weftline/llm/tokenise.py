@@ -73,6 +73,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_str(definition)
+        self.usual = self.whole.pre_tokenizer
         j = json.loads(definition)
         pre, model = j.get("pre_tokenizer") or {}, j["model"]
         self.fast = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not j.get("normalizer") and not j.get("post_processor") and model["type"] == "BPE" and not model.get("dropout")
@@ -81,8 +82,7 @@ class Encoder:
         self.dtype = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.most = most
         if self.fast:
-            self.part = Tokenizer.from_str(definition)
-            self.part.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.unsplit = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
             self._clear()
 
     def _clear(self) -> None:
@@ -92,10 +92,12 @@ class Encoder:
         if len(self.keys) + len(keys) > self.most:
             self._clear()
         ids, many = [self.flat], []
+        self.whole.pre_tokenizer = self.unsplit
         for a in range(0, len(texts), 4000):
-            e = self.part.encode(texts[a : a + 4000], is_pretokenized=True, add_special_tokens=False)
+            e = self.whole.encode(texts[a : a + 4000], is_pretokenized=True, add_special_tokens=False)
             ids.append(np.array(e.ids, self.dtype))
             many.append(np.bincount(np.array(e.word_ids, np.int64), minlength=min(4000, len(texts) - a)))
+        self.whole.pre_tokenizer = self.usual
         many = np.concatenate(many)
         at = len(self.flat) + np.cumsum(many) - many
         self.flat = np.concatenate(ids)
