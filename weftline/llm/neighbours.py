@@ -1,19 +1,17 @@
-"""Embedding near-duplicates by a robust-pruned flat graph.
+"""Embedding near-duplicates by exact products of blocks.
 
 Vectors are scaled to length one in double precision; equal ones become one node. A
-bounded sample of nodes fits centroids; every node is indexed in the ``overlap`` nearest
-cells, and a cell above ``cap`` nodes is dealt into sub-shards by hash. Each shard
-builds a graph of its own: a node's nearest neighbours and some random others are
-pruned robustly (a neighbour goes if one kept already is closer to it by the factor
-alpha), which keeps long edges; every edge runs both ways. A node's lists from all its shards are united.
-
-Every node is then searched for, in each sub-shard of its home cell: a beam walks from
-the shard's medoid (and from the node itself, where it is indexed there) to the
-query's surroundings, then the search widens over every node whose similarity is at
-least the threshold less ``slack``. Every similarity is a double-precision product, so
-no pair below the threshold is linked. Pairs whose homes are one cell are counted in
-the task and reach the rest of the plan as a spanning forest; only pairs across cells
-travel as pairs. ``audit`` measures recall against brute force.
+bounded sample of nodes fits centroids; every node lies in its nearest cell, and a cell
+above ``cap`` nodes is dealt into blocks by hash. A block is a file in the workspace.
+
+Every pair of blocks that can hold a pair at the threshold is met in one task: two
+nodes of at least that cosine are at most acos(cosine) apart, so a node is left out
+against a block only if it is farther than that from the block's ball (the largest angle
+to the centroid) or from the plane between the two cells; all others are multiplied in
+double precision. Nothing is left to chance: n_links is what brute force counts. Blocks
+are met in square tiles, so that a block is read once per tile. Links are counted
+in the task and reach the rest of the plan as counts and a spanning forest; no pairs
+travel. ``audit`` measures recall against brute force.
 
 Null, zero, non-finite vectors, vectors with a null component or of another length
 than most link with nothing. Repeated ids keep a row each; a component is named by its
@@ -24,16 +22,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._components import components, union
-from weftline.llm._store import materialise, tidy, workspace
+from weftline.llm._components import components
+from weftline.llm._store import get, materialise, put, tidy, workspace
 
-COSINE, SLACK = 0.9, 0.15
-CELL, CAP, SAMPLE, OVERLAP = 1500, 4000, 20_000, 3
-DEGREE, NEAR, FAR, ALPHA, BEAM, QUERIES = 24, 48, 16, 1.2, 32, 512
+COSINE = 0.9
+CELL, CAP, SAMPLE = 1500, 4000, 20_000
+QUERIES, TILE = 512, 8
 
 
 def units(batches):
@@ -66,156 +63,103 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def build(u: np.ndarray, seed: int = 3) -> list[np.ndarray]:
-    """Robust-pruned out-neighbours of every row."""
-    n, rng, out = len(u), np.random.default_rng(seed), []
-    for a in range(0, n, 500):
-        s = u[a : a + 500] @ u.T
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
-        near = np.argpartition(-s, min(NEAR, n - 1), 1)[:, :NEAR] if n > NEAR + 1 else np.broadcast_to(np.arange(n), (len(s), n))
-        for i in range(len(s)):
-            c = np.unique(np.concatenate([near[i], rng.integers(0, n, FAR)]))
-            c = c[c != a + i]
-            d = 2 - 2 * s[i, c]
-            order = np.argsort(d)
-            c, d = c[order], d[order]
-            between = 2 - 2 * (u[c] @ u[c].T)
-            alive, kept = np.ones(len(c), bool), []
-            for j in range(len(c)):
-                if alive[j]:
-                    kept.append(j)
-                    if len(kept) == DEGREE:
-                        break
-                    alive &= ALPHA * between[j] > d
-            out.append(c[kept])
-    a, b = np.repeat(np.arange(n), [len(x) for x in out]), np.concatenate(out)
-    both = np.unique(np.concatenate([a * n + b, b * n + a]))  # with the edges back, every node can be reached
-    return np.split(both % n, np.cumsum(np.bincount(both // n, minlength=n))[:-1])
-
-
-def search(u: np.ndarray, near: np.ndarray, start: int, own: np.ndarray, q: np.ndarray, cosine: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs of at least cosine. near: out-neighbours, padded with -1; own: each query's node here, or -1."""
-    n, m = len(u), len(q)
-    seen, wide = np.zeros((m, n), bool), np.zeros((m, n), bool)
-    rows = np.arange(m)
-
-    def meet(r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """New pairs of (query, node) and their similarity."""
-        key = np.unique(r * n + c)
-        r, c = key // n, key % n
-        new = ~seen[r, c]
-        r, c = r[new], c[new]
-        seen[r, c] = True
-        s = np.concatenate([np.einsum("ij,ij->i", q[r[a : a + 50_000]], u[c[a : a + 50_000]]) for a in range(0, len(r), 50_000)] or [np.zeros(0)])
-        return r, c, s
-
-    beam, sims, done = np.full((m, BEAM), -1), np.full((m, BEAM), -3.0), np.ones((m, BEAM), bool)
-    r, c = np.concatenate([rows, rows[own >= 0]]), np.concatenate([np.full(m, start), own[own >= 0]])
-    hits: list[tuple[np.ndarray, np.ndarray]] = []
-    while len(r):
-        r, c, s = meet(r, c)
-        wide[r[s >= cosine - slack], c[s >= cosine - slack]] = True
-        hits.append((r[s >= cosine], c[s >= cosine]))
-        if len(r):  # merge into the beams
-            at = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=m))])
-            width = int(np.diff(at).max())
-            nb, ns = np.full((m, width), -1), np.full((m, width), -3.0)
-            col = np.arange(len(r)) - at[r]
-            nb[r, col], ns[r, col] = c, s
-            ab, as_, ad = np.concatenate([beam, nb], 1), np.concatenate([sims, ns], 1), np.concatenate([done, nb < 0], 1)
-            top = np.argsort(-as_, 1, kind="stable")[:, :BEAM]
-            beam, sims, done = (np.take_along_axis(x, top, 1) for x in (ab, as_, ad))
-        best = np.where(done, -9.0, sims).argmax(1)
-        live = ~done[rows, best]
-        done[rows[live], best[live]] = True
-        node = beam[rows[live], best[live]]
-        nxt = near[node]
-        r = np.repeat(rows[live], near.shape[1])
-        c = nxt.ravel()
-        r, c = r[c >= 0], c[c >= 0]
-        if not live.any():
-            break
-        if not len(r):
-            r, c = rows[live][:1], node[:1]  # a node without neighbours: go on with the others
-    spread = np.zeros_like(wide)
-    while True:  # the widening
-        r, c = np.nonzero(wide & ~spread)
-        if not len(r):
-            break
-        spread[r, c] = True
-        for a in range(0, len(r), 20_000):
-            nxt = near[c[a : a + 20_000]]
-            rr, cc = np.repeat(r[a : a + 20_000], near.shape[1]), nxt.ravel()
-            rr, cc, s = meet(rr[cc >= 0], cc[cc >= 0])
-            wide[rr[s >= cosine - slack], cc[s >= cosine - slack]] = True
-            hits.append((rr[s >= cosine], cc[s >= cosine]))
-    return np.concatenate([x for x, _ in hits]), np.concatenate([y for _, y in hits])
-
-
-def _build_group(table: pa.Table) -> pa.Table:
-    ids = table.column("nid").to_numpy()
-    order = np.argsort(ids)
-    ids = ids[order]
-    u = matrix(table.column("u"), len(table.column("u")[0].as_py()) // 8)[order]
-    near = build(u) if len(ids) > 1 else [np.zeros(0, np.int64)] * len(ids)
-    return pa.table({"nid": pa.array(ids), "near": pa.array([ids[x] for x in near], pa.list_(pa.int64()))})
-
-
-def _search_group(cosine: float, slack: float):
+def near_plane(u: np.ndarray, own: np.ndarray, other: np.ndarray, radius: float, cosine: float) -> np.ndarray:
+    """Which rows of u, all nearer to the centroid own, can have a node of at least cosine in the cell of other, whose nodes are within radius of it."""
+    here, there = u @ own, u @ other
+    ball = np.arccos(np.clip(there, -1, 1)) <= radius + np.arccos(cosine) + 1e-6
+    return ball & (here - there <= np.sqrt(2 - 2 * cosine) * np.linalg.norm(own - other) + 1e-6)
+
+
+def join(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Renames label, by which a node points to the least node of its component, by the links (x, y)."""
+    while True:
+        la, lb = label[x], label[y]
+        open_ = la != lb
+        if not open_.any():
+            return
+        x, y, la, lb = x[open_], y[open_], la[open_], lb[open_]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while True:
+            up = label[label]
+            if np.array_equal(up, label):
+                break
+            label[:] = up
+
+
+def _pack(where: str, c: np.ndarray):
+    """Writes a block: nids, multiplicities, vectors."""
+
     def run(table: pa.Table) -> pa.Table:
-        index = table.filter(pa.compute.equal(table.column("role"), 0))
-        queries = table.filter(pa.compute.equal(table.column("role"), 1))
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        if not len(index) or not len(queries):
-            return none
-        width = len(index.column("u")[0].as_py()) // 8
-        ids = index.column("nid").to_numpy()
-        order = np.argsort(ids)
-        ids = ids[order]
-        u = matrix(index.column("u"), width)[order]
-        home, mult = index.column("home").to_numpy(zero_copy_only=False)[order], index.column("mult").to_numpy()[order]
-        lists = index.column("near").to_pylist()
-        near = []
-        for i in order:
-            x = np.array(lists[i] or [], np.int64)
-            at = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
-            near.append(at[ids[at] == x])
-        pad = np.full((len(ids), max(1, max(len(x) for x in near))), -1)
-        for i, x in enumerate(near):
-            pad[i, : len(x)] = x
-        start = int((u @ u.mean(0)).argmax())
-        qids, q, cell = queries.column("nid").to_numpy(), matrix(queries.column("u"), width), queries.column("cell").to_numpy()[0]
-        own = np.minimum(np.searchsorted(ids, qids), len(ids) - 1)
-        own = np.where(ids[own] == qids, own, -1)
-        a, b, n, links = [], [], [], []
-        for lo in range(0, len(qids), QUERIES):
-            r, c = search(u, pad, start, own[lo : lo + QUERIES], q[lo : lo + QUERIES], cosine, slack)
-            x, y = qids[lo + r], ids[c]
-            keep = x != y
-            x, y, c = x[keep], y[keep], c[keep]
-            same = home[c] == cell
-            at = np.searchsorted(sorted_q := np.unique(qids[lo : lo + QUERIES]), x[same])
-            total = np.bincount(at, mult[c[same]], minlength=len(sorted_q)).astype(np.int64)
-            a.append(sorted_q[total > 0])
-            b.append(np.full((total > 0).sum(), -1))
-            n.append(total[total > 0])
-            links.append((x[same], y[same]))
-            far = ~same  # homes in two cells: as pairs, the smaller node first
-            a.append(np.minimum(x[far], y[far]))
-            b.append(np.maximum(x[far], y[far]))
-            n.append(np.full(far.sum(), -1))
-        x, y = np.concatenate([p for p, _ in links]), np.concatenate([p for _, p in links])
-        if len(x):
-            v, root = union(x, y)
-            a.append(v)
-            b.append(root)
-            n.append(np.full(len(v), -2))
-        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64()), "n": pa.array(np.concatenate(n), pa.int64())})
+        table = table.sort_by("nid")
+        cell, sub = table.column("cell")[0].as_py(), table.column("sub")[0].as_py()
+        u = matrix(table.column("u"), c.shape[1])
+        put(f"{where}/blocks/{cell}-{sub}", [table.column(k).to_numpy().astype("<i8").tobytes() for k in ("nid", "mult")] + [u.tobytes()])
+        radius = float(np.arccos(np.clip(u @ c[cell], -1, 1)).max())
+        return pa.table({"cell": pa.array([cell]), "sub": pa.array([sub]), "radius": pa.array([radius])})
+
+    return run
+
+
+def _meet(where: str, c: np.ndarray, blocks: list, tile: int, cosine: float):
+    """Tasks over numbers of tile pairs: (a, b, n) are n links of node a, or where n is -1 a link of a spanning forest."""
+    width = c.shape[1]
+
+    def load(t: int) -> list:
+        out = []
+        for cell, sub, radius in blocks[t * tile : (t + 1) * tile]:
+            data = get(f"{where}/blocks/{cell}-{sub}")
+            n = len(data) // (8 * (width + 2))
+            ints = np.frombuffer(data, "<i8", 2 * n)
+            out.append((cell, radius, ints[:n], ints[n:], np.frombuffer(data, np.float64, offset=16 * n).reshape(n, width)))
+        return out
+
+    def pair(left: list, right: list | None) -> pa.RecordBatch:
+        """right: None for the left tile with itself."""
+        all_ = left + (right or [])
+        at = np.cumsum([0] + [len(x[2]) for x in all_])
+        nid = np.concatenate([x[2] for x in all_])
+        total, label = np.zeros(len(nid), np.int64), np.arange(len(nid))
+        for i, (ci, ri, _, mi, ui) in enumerate(left):
+            for j in range(i if right is None else len(left), len(all_)):
+                cj, rj, _, mj, uj = all_[j]
+                r, k = np.arange(len(ui)), np.arange(len(uj))
+                if ci != cj:
+                    r = np.flatnonzero(near_plane(ui, c[ci], c[cj], rj, cosine))
+                    k = np.flatnonzero(near_plane(uj, c[cj], c[ci], ri, cosine)) if len(r) else r
+                v, m = (uj, mj) if len(k) == len(uj) else (uj[k], mj[k])
+                for lo in range(0, len(r) if len(k) else 0, QUERIES):
+                    rows = r[lo : lo + QUERIES]
+                    link = ui[rows] @ v.T >= cosine
+                    if i == j:
+                        link[np.arange(len(rows)), rows] = False
+                    x, y = np.nonzero(link)
+                    if not len(x):
+                        continue
+                    total[at[i] : at[i + 1]][rows] += np.bincount(x, m[y], len(rows)).astype(np.int64)
+                    if i != j:
+                        total[at[j] : at[j + 1]][k] += np.bincount(y, mi[rows][x], len(k)).astype(np.int64)
+                    join(label, at[i] + rows[x], at[j] + k[y])
+        some, tied = np.flatnonzero(total), np.flatnonzero(label != np.arange(len(label)))
+        a, b = np.concatenate([nid[some], nid[tied]]), np.concatenate([np.full(len(some), -1), nid[label[tied]]])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.concatenate([total[some], np.full(len(tied), -1)]))], ["a", "b", "n"])
+
+    tiles = -(-len(blocks) // tile)
+
+    def run(batches):
+        kept: tuple[int, list] = (-1, [])
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                i, d = divmod(p, tiles // 2 + 1)  # tile i with tile i + d, around the end: each pair of tiles once
+                if 2 * d == tiles and i >= d:
+                    continue
+                if kept[0] != i:
+                    kept = (i, load(i))
+                yield pair(kept[1], load((i + d) % tiles) if d else None)
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, slack: float = SLACK, cell_size: int = CELL, cap: int = CAP, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell_size: int = CELL, cap: int = CAP, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors."""
     spark = vectors.sparkSession
     where = workspace(spark, "neighbours")
@@ -233,31 +177,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, slack: float = S
 
     def assign(batches):
         for batch in batches:
-            s = matrix(batch.column("u"), width) @ c.T
-            k = min(OVERLAP, len(c))
-            top = np.argsort(-s, 1, kind="stable")[:, :k]
-            take = pa.array(np.repeat(np.arange(batch.num_rows), k))
-            t = batch.take(take)
-            yield pa.RecordBatch.from_arrays([pa.array(top.ravel()), pa.array(np.repeat(top[:, 0], k)), t.column("nid"), t.column("u"), t.column("mult")], ["cell", "home", "nid", "u", "mult"])
-
-    placed = nodes.mapInArrow(tidy(assign), "cell long, home long, nid long, u binary, mult long")
-    placed = materialise(placed, where, "placed")
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / cap).alias("subs"), F.ceil(F.sum(F.when(F.col("cell") == F.col("home"), 1).otherwise(0)) / cap).alias("blocks"))
-    placed = materialise(placed.join(sizes.hint("shuffle_hash"), "cell").withColumn("sub", F.pmod(F.shiftright("nid", 9), "subs")), where, "shards")
-    graph = placed.select("cell", "sub", "nid", "u").groupBy("cell", "sub").applyInArrow(_build_group, "nid long, near array<long>")
-    graph = materialise(graph.groupBy("nid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), where, "graph")
-    index = placed.join(graph, "nid").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("blocks") - 1, F.lit(0)))))
-    index = index.select("cell", "sub", "block", F.lit(0).alias("role"), "nid", "u", "mult", "home", "near")
-    queries = placed.where("cell = home").withColumn("block", F.pmod(F.shiftright("nid", 23), "blocks")).withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)))
-    queries = queries.select("cell", "sub", "block", F.lit(1).alias("role"), "nid", "u", "mult", "home", F.lit(None).cast("array<long>").alias("near"))
-    found = index.unionByName(queries).groupBy("cell", "sub", "block").applyInArrow(_search_group(cosine, slack), "a long, b long, n long")
+            home = (matrix(batch.column("u"), width) @ c.T).argmax(1)
+            yield pa.RecordBatch.from_arrays([pa.array(home), *batch.columns], ["cell", *batch.schema.names])
+
+    placed = materialise(nodes.mapInArrow(tidy(assign), "cell long, nid long, u binary, mult long"), where, "placed")
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / cap).alias("subs"))
+    placed = placed.join(sizes.hint("shuffle_hash"), "cell").withColumn("sub", F.pmod(F.shiftright("nid", 9), "subs")).select("cell", "sub", "nid", "u", "mult")
+    packed = materialise(placed.groupBy("cell", "sub").applyInArrow(_pack(where, c), "cell long, sub long, radius double"), where, "packed")
+    blocks = sorted(tuple(x) for x in packed.collect())
+    tile = max(1, min(TILE, len(blocks) // 64))
+    tiles = -(-len(blocks) // tile)
+    pairs = tiles * (tiles // 2 + 1)
+    tasks = spark.range(0, pairs, 1, min(pairs, max(4 * spark.sparkContext.defaultParallelism, pairs // 16)))
+    found = tasks.mapInArrow(tidy(_meet(where, c, blocks, tile, cosine)), "a long, b long, n long")
     found = materialise(found, where, "found")
-    mult = nodes.select("nid", "mult")
-    pairs = found.where("n = -1").select("a", "b").distinct()
-    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("nid")).union(pairs.select(F.col("b").alias("x"), F.col("a").alias("nid")))
-    across = ends.join(mult, "nid").groupBy(F.col("x").alias("nid")).agg(F.sum("mult").alias("k"))
-    inside = found.where("n >= 0").groupBy(F.col("a").alias("nid")).agg(F.sum("n").alias("k"))
-    links = inside.unionByName(across).groupBy("nid").agg(F.sum("k").alias("k"))
+    links = found.where("n >= 0").groupBy(F.col("a").alias("nid")).agg(F.sum("n").alias("k"))
     names = components(found.where("n < 0").select("a", "b"), where)
     info = materialise(nodes.select("nid", "mult").join(links, "nid", "left").join(names.withColumnRenamed("id", "nid"), "nid", "left").select("nid", (F.col("mult") - 1 + F.coalesce("k", F.lit(0))).alias("n_links"), F.coalesce("root", "nid").alias("root")), where, "info")
     base = rows.join(info, "nid", "left")
