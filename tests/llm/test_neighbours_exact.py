@@ -32,3 +32,19 @@ def test_a_group_over_more_than_ten_cells_is_counted_whole(spark):
     assert got["n_links"].tolist() == n.tolist()
     assert got["component_id"].tolist() == label.tolist()
     assert got["kept"].tolist() == (label == np.arange(len(v))).tolist()
+
+
+def test_recall_is_whole_with_two_hundred_cells(spark):
+    r = np.random.default_rng(6)
+    v = r.normal(size=(6000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    side = r.normal(size=(1000, 64))
+    side -= (side * v[:1000]).sum(1, keepdims=True) * v[:1000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    v[1000:2000] = 0.905 * v[:1000] + np.sqrt(1 - 0.905**2) * side  # just above the threshold
+    n, _ = brute_force(v)
+    assert n.sum() >= 2000
+    df = frame(spark, v)
+    got = neighbours.near_duplicates(df, cell_size=30)
+    assert neighbours.audit(df, got, every=1) == 1.0
+    assert got.toPandas().sort_values("vec_id")["n_links"].tolist() == n.tolist()
