@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weftline.functions import text as X
 from weftline.operators import cycles, graph, paths
 from weftline.plans.registry import register
 from weftline.sources import adapters as A
@@ -282,7 +283,6 @@ def topo_rank(spark, sf):
     return paths.topo_rank(graph.adjacency(A.frame(spark, sf, A.STAR_EDGES)))
 
 
-SECRETS = "SELECT doc_id FROM {documents} WHERE regexp_like(text, '(password|secret|token|api_key) = \"')"
 HEALTH_SQL = f"""WITH RECURSIVE {app(SESSION_N, SESSION)}, {COUPLING}, g AS (SELECT DISTINCT source AS a, target AS b FROM app), r AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON g.a = r.b),
 m AS (SELECT x.a AS id, min(x.b) AS scc FROM r AS x JOIN r AS y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
 k AS (SELECT (SELECT count(DISTINCT least(id, scc)) FROM m) AS cycles,
@@ -306,9 +306,9 @@ def health(spark, sf):
     c = graph.coupling(n, a).persist()
     count = lambda df, name: df.agg(F.count("*").alias(name))
     dead = graph.dead_nodes(n, e).agg(F.count("*").alias("k")).crossJoin(n.agg(F.count("*").alias("all"))).select((100.0 * F.col("k") / F.col("all")).alias("dead_pct"))
-    found = A.frame(spark, sf, SECRETS)
+    found = X.findings(X.lines(A.files(spark, sf))).agg(*[F.count_if(F.col("severity") == v).alias(k) for k, v in (("high", "high"), ("med", "medium"), ("low", "low"))]).persist()
     return graph.health({
         "cycles": count(cycles.find_cycles(a), "cycles"), "layer_violations": count(graph.layer_violations(n, a), "layer_violations"), "hubs": count(graph.hubs(c), "hubs"),
         "wrong_way": count(graph.wrong_way(c, a), "wrong_way"), "god_objects": count(graph.god_objects(n, e), "god_objects"), "dead_pct": dead,
-        "high": count(found, "high"), "med": count(found.limit(0), "med"), "low": count(found.limit(0), "low"),
+        "high": found, "med": found, "low": found,
     })
