@@ -17,7 +17,7 @@ BATCH, SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if spark.conf.get(BATCH, None) == SPARKS_OWN:  # nobody chose: long texts come in smaller batches
-        spark.conf.set(BATCH, "8m")
+        spark.conf.set(BATCH, "4m")
     if getattr(sc, "_weftline_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
