@@ -241,13 +241,17 @@ def test_chat_folds_events_and_reads_back(spark):
 
 def test_word_piece_lengths(spark, ugly, empty):
     definition = tokenizer_file("word_bpe_49k.json")
-    initial, _ = token_counts.read_vocabulary(definition)
-    pieces = set(initial)
+    import json
+
+    symbol = {b: c for c, b in token_counts.byte_symbols().items()}
+    pieces = set(json.loads(definition)["model"]["vocab"])
 
     def brute(word):
-        s, i, n = tuple(word.encode()), 0, 0
+        """Greedy over the pieces as the file writes them: the mark belongs to the last byte."""
+        s, i, n = [symbol[b] for b in word.encode()], 0, 0
+        s[-1] += "</w>"
         while i < len(s):
-            j = next(j for j in range(min(len(s), i + 130), i, -1) if s[i:j] in pieces)
+            j = next(j for j in range(min(len(s), i + 130), i, -1) if "".join(s[i:j]) in pieces)
             i, n = j, n + 1
         return n
 

@@ -12,7 +12,9 @@ each other.
 Fitted on at most ``max_train`` rows with a language, those with the smallest hash of
 their id; every row is scored. Null texts and texts without a letter give ``und`` with
 score 0; so do all texts where nothing could be learnt. One language only: always
-that one, with score 1. Repeated rows count each. Input columns named like a result
+that one, with score 1. A repeated id teaches once, by the first of its texts; every row
+of it is scored. Of languages with equal losses the first by name wins. Very long texts
+are read whole, in slices. Input columns named like a result
 column are replaced.
 """
 
@@ -122,7 +124,8 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", t
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     order = F.crc32(F.concat(F.lit("lang/"), F.col("_id").cast("string")))
     keys = rows.select("_id").distinct().orderBy(order, "_id").limit(max_train)
-    sample = rows.join(F.broadcast(keys), "_id").repartition(1).sortWithinPartitions(order, "_id", "_text")  # at most max_train ids
+    one = F.min(F.struct("_text", "_lang")).alias("_row")  # one row of a repeated id
+    sample = rows.join(F.broadcast(keys), "_id").groupBy("_id").agg(one).select("_id", "_row.*").repartition(1).sortWithinPartitions(order, "_id")
 
     def run(batches):
         batches = list(batches)

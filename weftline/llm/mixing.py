@@ -13,27 +13,33 @@ Targets: sources by code point, null last, weigh 1, 2, 3, repeating, and share a
 words; a target stops at ``ceiling`` times its source's size, and the excess is shared
 again by weight.
 
-Positions are running sums over (source, bucket), with a number of buckets that
-follows the rows, so that one source may hold any part of the rows. The driver sees
-one row a source and, for the plan, one row a shard.
+The counts of all shards form a tree: a node splits what its sources lack between its two
+halves by a draw of its own seed, so any task finds the counts of its shards from the
+totals, and no list of shards exists. Positions are running sums over (source, bucket),
+with a number of buckets that follows the rows, so that one source may hold any part of
+the rows. The driver sees one row a source.
 
 Nulls: a null text has no words; a null source is a source of its own; a null id is
-kept. Texts without words are taken 0 times. Repeated rows count once each. An empty
-table gives an empty result.
+kept. Empty texts and others without words are taken 0 times. A very long text reaches
+many blocks and is taken block by block. Ties: rows of one source stand by id and a hash
+of the text, so reruns agree. Repeated rows count once each; in ``mix_texts`` rows equal
+in id, source and text are one text with the passes of all. Input columns may have any
+other names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftline.llm._store import materialise, tidy, workspace
+from weftline.llm import _words as W
+from weftline.llm._store import materialise, running, tidy, workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 256
@@ -59,19 +65,27 @@ def targets(sizes: Sequence[int], weights: Sequence[float], ceiling: float = CEI
     return out
 
 
-def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
-    """A permutation of 0..n-1 at the points x."""
+def _feistel(n: int, key: int) -> tuple[np.uint64, np.uint64, list[np.uint64]]:
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
-    mask, h = np.uint64((1 << half) - 1), np.uint64(half)
     keys = [np.uint64(zlib.crc32(f"{key}/{r}".encode()) * 0x9E3779B1 & (1 << 63) - 1) for r in range(4)]
+    return np.uint64(half), np.uint64((1 << half) - 1), keys
+
+
+def _round(b: np.ndarray, k: np.uint64, mask: np.uint64) -> np.ndarray:
+    f = (b + k) * np.uint64(0x9E3779B97F4A7C15)
+    f ^= f >> np.uint64(29)
+    f *= np.uint64(0xBF58476D1CE4E5B9)
+    return (f >> np.uint64(32)) & mask
+
+
+def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
+    """A permutation of 0..n-1 at the points x."""
+    h, mask, keys = _feistel(n, key)
 
     def once(v: np.ndarray) -> np.ndarray:
         a, b = v >> h, v & mask
         for k in keys:
-            f = (b + k) * np.uint64(0x9E3779B97F4A7C15)
-            f ^= f >> np.uint64(29)
-            f *= np.uint64(0xBF58476D1CE4E5B9)
-            a, b = b, a ^ ((f >> np.uint64(32)) & mask)
+            a, b = b, a ^ _round(b, k, mask)
         return (a << h) | b
 
     v = once(x.astype(np.uint64))
@@ -80,14 +94,17 @@ def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return v.astype(np.int64)
 
 
-def inverse_last(n: int, key: int) -> int:
-    """The point whose image is n-1."""
-    step = 1 << 20
-    for a in range(0, n, step):
-        x = np.arange(a, min(n, a + step))
-        if len(hit := np.flatnonzero(permute(x, n, key) == n - 1)):
-            return a + int(hit[0])
-    raise AssertionError("not a permutation")
+def inverse(y: int, n: int, key: int) -> int:
+    """The point whose image is y: the network run backwards, out of range and in again."""
+    h, mask, keys = _feistel(n, key)
+    v = np.array([y], np.uint64)
+    while True:
+        a, b = v >> h, v & mask
+        for k in reversed(keys):
+            a, b = b ^ _round(a, k, mask), a
+        v = (a << h) | b
+        if v[0] < n:
+            return int(v[0])
 
 
 def source_plan(size: int, take: int, block: int, seed: str) -> dict:
@@ -100,7 +117,7 @@ def source_plan(size: int, take: int, block: int, seed: str) -> dict:
     key = zlib.crc32(seed.encode())
     slots, cut = 0, 0
     if rest:
-        at = inverse_last(blocks, key * 16 + passes)
+        at = inverse(blocks - 1, blocks, key * 16 + passes)
         if rest <= at * block:
             slots = -(-rest // block)
             cut = rest - (slots - 1) * block
@@ -113,26 +130,40 @@ def source_plan(size: int, take: int, block: int, seed: str) -> dict:
     return {"blocks": blocks, "short": short, "passes": passes, "slots": passes * blocks + slots, "cut": cut, "key": key}
 
 
-def draw(slots: Sequence[int], shard: int, seed: int) -> np.ndarray:
-    """Counts by shard and source: multinomial draws from what each source still lacks."""
-    left = np.asarray(slots, np.int64).copy()
-    rng, rows = np.random.default_rng(seed), []
-    while (total := int(left.sum())) > 0:
-        want = min(shard, total)
-        got = np.zeros_like(left)
-        while want > 0:
-            free = left - got
-            got += np.minimum(rng.multinomial(want, free / free.sum()), free)
-            want = min(shard, total) - int(got.sum())
-        rows.append(got)
-        left -= got
-    return np.array(rows, np.int64).reshape(len(rows), len(left))
+def part_of(lacking: np.ndarray, want: int, rng: np.random.Generator) -> np.ndarray:
+    """want slots of those that the sources lack: multinomial draws, none above what its source lacks."""
+    got = np.zeros_like(lacking)
+    while (more := want - int(got.sum())) > 0:
+        free = lacking - got
+        got += np.minimum(rng.multinomial(more, free / free.sum()), free)
+    return got
+
+
+def draw(slots: Sequence[int], shard: int, seed: int, low: int = 0, high: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, slots by source before it, its slots by source) for the shards low..high-1 of the tree."""
+    total = np.asarray(slots, np.int64)
+    shards = -(-int(total.sum()) // shard)
+    high = shards if high is None else min(high, shards)
+
+    def walk(a: int, b: int, before: np.ndarray, lacking: np.ndarray):
+        if b <= low or a >= high:
+            return
+        if b - a == 1:
+            yield a, before, lacking
+            return
+        mid = (a + b) // 2
+        left = part_of(lacking, (mid - a) * shard, np.random.default_rng([seed, a, b]))  # only the last shard is short
+        yield from walk(a, mid, before, left)
+        yield from walk(mid, b, before + left, lacking - left)
+
+    if shards:
+        yield from walk(0, shards, np.zeros_like(total), total)
 
 
 class Mix:
     """placed: documents with source number, size and place in the stream; sources: the plan; slots: the mix itself."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, where: str, block: int = BLOCK, shard: int = SHARD, ceiling: int = CEILING, seed: int = 7, rows_a_bucket: int = 20_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
+    def __init__(self, spark: SparkSession, docs: DataFrame, where: str, block: int = BLOCK, shard: int = SHARD, ceiling: int = CEILING, seed: int = 7, rows_a_bucket: int = 2_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
         self.block = block
         sized = docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("h"),
@@ -151,8 +182,7 @@ class Mix:
         b = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h"), F.lit(buckets)))
         order = Window.partitionBy("source", "bucket").orderBy("doc_id", "h")
         local = b.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        base = b.groupBy("source", "bucket").agg(F.sum("size").alias("bs"))
-        base = base.withColumn("base", F.sum("bs").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bs"))
+        base = running(b.groupBy("source", "bucket").agg(F.sum("size").alias("bs")), "bucket", {"base": "bs"}, "source")
         base = base.select(F.col("source").alias("s2"), F.col("bucket").alias("b2"), "base")
         src = self.sources.select(F.col("source").alias("s3"), "sid", "source_size", "target")
         placed = (
@@ -161,21 +191,24 @@ class Mix:
             .select("doc_id", "h", "source", "sid", "size", "source_size", "target", (F.col("base") + F.col("end") - F.col("size")).alias("start"))
         )
         self.placed = materialise(placed, where, "placed")
-        counts = draw([p["slots"] for p in plan], shard, seed)
-        first = np.cumsum(counts, axis=0) - counts
-        table = pa.table({"shard": pa.array(range(len(counts)), pa.int64()), "first": pa.array(first.tolist(), pa.list_(pa.int64())), "count": pa.array(counts.tolist(), pa.list_(pa.int64()))})
+        lacking = [p["slots"] for p in plan]
+        shards = -(-sum(lacking) // shard)
 
         def slots(batches):
             for batch in batches:
-                for row in batch.to_pylist():
-                    o = [np.arange(f, f + c) for f, c in zip(row["first"], row["count"], strict=True)]
-                    sid = np.repeat(np.arange(len(o)), [len(x) for x in o])
+                if not batch.num_rows:
+                    continue
+                low, high = batch.column(0)[0].as_py(), batch.column(0)[-1].as_py() + 1
+                for k, first, count in draw(lacking, shard, seed, low, high):
+                    o = [np.arange(f, f + c) for f, c in zip(first, count, strict=True)]
+                    sid = np.repeat(np.arange(len(o)), count)
                     n = [_slots_of(plan[i], x, block) for i, x in enumerate(o)]
-                    turn, at, words = (np.concatenate([x[k] for x in n]) if n else np.zeros(0, np.int64) for k in range(3))
-                    pos = np.random.default_rng([seed, row["shard"]]).permutation(len(sid))
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(sid), row["shard"]), pos, sid, turn, at, words)], ["shard", "slot", "sid", "pass", "block", "words"])
+                    turn, at, words = (np.concatenate([x[j] for x in n]) for j in range(3))
+                    pos = np.random.default_rng([seed, k]).permutation(len(sid))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(sid), k), pos, sid, turn, at, words)], ["shard", "slot", "sid", "pass", "block", "words"])
 
-        self.slots = spark.createDataFrame(table, "shard long, first array<long>, count array<long>").repartition(min(64, max(1, len(counts)))).mapInArrow(tidy(slots), "shard long, slot long, sid long, pass long, block long, words long")
+        tasks = min(max(1, shards), max(2 * spark.sparkContext.defaultParallelism, -(-shards // 1024)))
+        self.slots = spark.range(0, shards, 1, tasks).mapInArrow(tidy(slots), "shard long, slot long, sid long, pass long, block long, words long")
 
     def pieces(self) -> DataFrame:
         """(document, block it reaches, [x, y) of that block that is its own)."""
@@ -221,36 +254,34 @@ def mix_texts(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     hit = hit.select("doc_id", "source", "h", "sid", "start", "size", "pass", (F.col("x") + off).alias("a"), (F.least("y", "words") + off).alias("b"))
     rows = hit.groupBy("doc_id", "source", "h", "size", "sid", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"))
     rows = rows.groupBy("doc_id", "source", "h", "size").agg(F.collect_list("runs").alias("all_runs"))
-    texts = docs.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_h"])
-    both = texts.join(rows.select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("h").alias("_h2"), F.col("size").alias("_size"), F.col("all_runs").alias("_runs")), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_h") == F.col("_h2")))
-    out = docs.schema
-    word = re.compile(WORD)
+    texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("i"), F.col("source").alias("s"), F.xxhash64("text").alias("k")).dropDuplicates(["i", "s", "k"])
+    both = texts.join(rows, F.col("i").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("k") == F.col("h"))).select("row", rows["size"].alias("size"), "all_runs")
+    names, out = docs.columns, T.StructType([T.StructField(f.name, T.LongType() if f.name == "n_chars" else f.dataType) for f in docs.schema])
 
     def cut(batches):
         for batch in batches:
-            keep, texts_out = [], []
-            spans_of, runs_of, sizes = batch.column("text"), batch.column("_runs"), batch.column("_size")
-            for i in range(batch.num_rows):
-                text, size, spans = spans_of[i].as_py(), sizes[i].as_py(), None
-                for runs in runs_of[i].as_py():
-                    keep.append(i)
-                    if sum(r["b"] - r["a"] for r in runs) == size:
-                        texts_out.append(text)
-                        continue
-                    spans = spans or [s.span() for s in word.finditer(text)]
-                    joined: list[list[int]] = []
-                    for r in runs:
-                        if joined and joined[-1][1] == r["a"]:
-                            joined[-1][1] = r["b"]
-                        else:
-                            joined.append([r["a"], r["b"]])
-                    texts_out.append(" ".join(text[spans[a][0] : spans[b - 1][1]] for a, b in joined))
-            t = batch.select(out.names).take(pa.array(keep, pa.int64()))
-            cols = {n: t.column(n) for n in out.names} | {"text": pa.array(texts_out, t.schema.field("text").type)}
-            if "n_chars" in cols:
-                cols["n_chars"] = pa.array([len(x) for x in texts_out], pa.int64())
-            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
-
-    if "n_chars" in out.names:
-        both = both.withColumn("n_chars", F.col("n_chars").cast("long"))
-    return both.select(*out.names, "_size", "_runs").mapInArrow(tidy(cut), both.select(*out.names).schema)
+            fields = dict(zip(names, batch.column("row").flatten(), strict=True))
+            sizes, all_runs = batch.column("size").to_pylist(), batch.column("all_runs")
+            for low, high, data, offsets in W.slices(fields["text"]):
+                w = W.words(data, offsets, W.NOT_BLANK, hashed=False)
+                keep, texts_out = [], []
+                for i in range(low, high):
+                    first = w.first[i - low]
+                    for runs in all_runs[i].as_py():
+                        keep.append(i)
+                        if sum(r["b"] - r["a"] for r in runs) == sizes[i]:
+                            texts_out.append(data[offsets[i - low] : offsets[i - low + 1]].tobytes().decode("utf-8", "replace"))
+                            continue
+                        joined: list[list[int]] = []
+                        for r in runs:
+                            if joined and joined[-1][1] == r["a"]:
+                                joined[-1][1] = r["b"]
+                            else:
+                                joined.append([r["a"], r["b"]])
+                        texts_out.append(b" ".join(data[w.start[first + a] : w.end[first + b - 1]].tobytes() for a, b in joined).decode("utf-8", "replace"))
+                cols = {n: c.take(pa.array(keep, pa.int64())) for n, c in fields.items()} | {"text": pa.array(texts_out, fields["text"].type)}
+                if "n_chars" in cols:
+                    cols["n_chars"] = pa.array([len(x) for x in texts_out], pa.int64())
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names)
+
+    return both.mapInArrow(tidy(cut), out)

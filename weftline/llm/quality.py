@@ -12,7 +12,10 @@ hash of their id, in one task that holds only them. All rows are scored.
 
 Null and empty texts have no features and get the score of the bias alone. Without
 labelled rows, or with one class only, every score is the smoothed share of label 1.
-Labels repeated for an id count once, by their maximum; null labels are left out.
+Labels repeated for an id count once, by their maximum; null labels are left out. A
+repeated id teaches once, by the first of its texts (null before all); every row of it is
+scored. Very long texts are read whole, in slices. Columns named like a result column are
+replaced.
 """
 
 from __future__ import annotations
@@ -91,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, bits:
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y is not null")
         .groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.crc32(F.col("_id").cast("string")), "_id").limit(max_train)
     )
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").repartition(1).sortWithinPartitions(F.crc32(F.col("_id").cast("string")), "_id", "_text")
+    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).repartition(1).sortWithinPartitions(F.crc32(F.col("_id").cast("string")), "_id")
 
     def run(batches):
         parts = pa.Table.from_batches(batches, schema=pa.schema([("_id", pa.int64()), ("_text", pa.string()), ("_y", pa.int32())])) if (batches := list(batches)) else None

@@ -10,16 +10,20 @@ together: id i goes to lane i mod lanes. Renormalisation moves 32-bit words. A
 checkpoint is all states and the word offset before a given step, the first one at
 step 0; decoding can begin at any of them, so a block can be read in parts. A block
 carries the crc32 of its ids and of its bytes, and which documents it holds parts of.
-Blocks do not depend on each other; documents may span blocks.
+Blocks do not depend on each other; documents may span blocks. Where each block lies,
+and how many ids and documents stand before it, is a table (a row a block), numbered by
+running sums; the driver sees none of it.
 
 Layout of a block (little-endian): 8 numbers ``<4sIIIIIII`` (magic WFB1, ids, lanes,
 words, checkpoints, checkpoint distance in steps, crc32 of ids as uint32, bytes of the
 document index), the index (zlib: flags, then int64 id, uint8 null, int64 count each),
 checkpoints (uint32 word offset, lanes x uint64), words (uint32), crc32 of all before.
 
-A null text is an empty document (only the end id); a null id sorts first and stays
-null; repeated ids and rows keep one document each, ties ordered by their ids. An
-empty table gives no files and an empty result.
+A null or empty text is an empty document (only the end id); a null id sorts first and
+stays null; repeated ids and rows keep one document each, those of one id ordered by a
+hash of their ids, so that the rows of one id may fill many files. A very long text
+spans blocks and files' blocks are written one by one. Only the id and text columns are
+read, whatever others are called. An empty table gives no files and an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections import deque
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +39,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm._store import get, materialise, open_fs, put, tidy
+from weftline.llm._store import KEPT, get, materialise, open_fs, put, running, tidy, writing
 from weftline.llm.tokenise import Encoder
 
 LOW, WORD = np.uint64(1 << 31), np.uint64(32)
 HEAD = struct.Struct("<4sIIIIIII")
 BITS = 20
 BLOCK, LANES, STEPS = 1 << 18, 512, 256
-MANIFEST = pa.schema([("shard", pa.int32()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("bytes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("ordinals", pa.list_(pa.int64()))])
+MOST_SHARDS = 100_000
+MANIFEST = pa.schema([("place", pa.int64()), ("uri", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("n_ids", pa.int64()), ("n_done", pa.int64())])
 
 
 class Tables:
@@ -165,10 +171,10 @@ def token_table(docs: DataFrame, definition: str, end_id: int | None = 0, id_col
                 data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(out) - 1, [None, pa.py_buffer((out * size).astype(np.int64)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(out) - 1), data.cast(pa.binary()), pa.array(np.diff(out).astype(np.int64))], ["doc_id", "ids", "n"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, ids binary, n long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run, "encoders"), "doc_id long, ids binary, n long")
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[int, Encoder] = KEPT.setdefault("encoders", {})
 
 
 def _encoder(definition: str) -> Encoder:
@@ -208,7 +214,7 @@ def _flat(column: pa.Array, dtype: type) -> np.ndarray:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(dtype)
 
 
-_loaded: dict[str, Tables] = {}
+_loaded: dict[str, Tables] = KEPT.setdefault("tables", {})
 
 
 def _tables(uri: str) -> Tables:
@@ -219,24 +225,27 @@ def _tables(uri: str) -> Tables:
     return _loaded[uri]
 
 
-def write(spark: SparkSession, tokens: DataFrame, where: str, vocabulary: int, dtype: type, shard_tokens: int = 8_000_000, block_tokens: int = BLOCK, lanes: int = LANES) -> list[dict]:
-    """Writes the files under where; returns where each block is, in document order."""
+def write(spark: SparkSession, tokens: DataFrame, where: str, vocabulary: int, dtype: type, shard_tokens: int = 8_000_000, block_tokens: int = BLOCK, lanes: int = LANES) -> DataFrame:
+    """Writes the files under where; returns where each block is: (place, uri, at, size, n_ids, n_done, start, ordinal).
+
+    place rises in document order; start and ordinal are the ids and the whole documents
+    before the block. There is a file for shard_tokens ids, or for more of them where
+    that would make more than MOST_SHARDS files.
+    """
     tables = Tables.of_counts(c := counts(tokens, vocabulary, dtype))
     put(f"{where}/tables", tables.dump())
-    shards = max(1, -(-int(c.sum()) // shard_tokens))
-    ordered = tokens.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
+    shards = min(MOST_SHARDS, max(1, -(-int(c.sum()) // shard_tokens)))
+    order = ["doc_id", "h", "ids"]
+    ordered = tokens.withColumn("h", F.xxhash64("ids")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions(*order)
 
-    def run(batches):
-        t = _tables(f"{where}/tables")
-        blocks, sizes, ordinals = [], [], []
+    def blocks_of(batches, t: Tables):
+        """(block, ids, documents that end in it), in order."""
         held, docs = np.zeros(0, dtype), deque()
-        n_docs = n_ids = done = 0
         carried = False  # the first document of docs began in an earlier block
 
-        def close(size: int) -> None:
-            nonlocal held, carried, done
-            own, left, open_first = [], size, carried
-            ordinals.append(done)
+        def close(size: int) -> tuple[bytes, int, int]:
+            nonlocal held, carried
+            own, left, open_first, done = [], size, carried, 0
             carried = False
             while docs and not carried:
                 d, k = docs[0]
@@ -249,43 +258,43 @@ def write(spark: SparkSession, tokens: DataFrame, where: str, vocabulary: int, d
                     docs[0], k, carried = (d, k - left), left, True
                 own.append((d, k))
                 left -= k
-            blocks.append(encode_block(t, held[:size], own, open_first, carried, lanes))
-            sizes.append(size)
+            block = encode_block(t, held[:size], own, open_first, carried, lanes)
             held = held[size:]
+            return block, size, done
 
         for batch in batches:
-            flat = _flat(batch.column(1), dtype)
             docs.extend(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            held = np.concatenate([held, flat])
-            n_docs += batch.num_rows
-            n_ids += len(flat)
+            held = np.concatenate([held, _flat(batch.column(1), dtype)])
             while len(held) >= block_tokens:
-                close(block_tokens)
+                yield close(block_tokens)
         if docs:
-            close(len(held))
-        if blocks:
-            k = TaskContext.get().partitionId()
-            uri = f"{where}/part-{k:05d}"
-            put(uri, blocks)
-            yield pa.RecordBatch.from_pylist([{"shard": k, "uri": uri, "n_docs": n_docs, "n_ids": n_ids, "bytes": [len(b) for b in blocks], "sizes": sizes, "ordinals": ordinals}], MANIFEST)
-
-    found = ordered.select("doc_id", "ids", "n").mapInArrow(tidy(run), "shard int, uri string, n_docs long, n_ids long, bytes array<long>, sizes array<long>, ordinals array<long>").collect()  # a row a file
-    out, start, first = [], 0, 0
-    for row in sorted(found, key=lambda r: r["shard"]):
-        at = 0
-        for size, ids, k in zip(row["bytes"], row["sizes"], row["ordinals"], strict=True):
-            out.append({"uri": row["uri"], "at": at, "size": size, "start": start, "ordinal": first + k})
-            at += size
-            start += ids
-        first += row["n_docs"]
-    return out
-
+            yield close(len(held))
 
-def read(spark: SparkSession, blocks: list[dict], where: str) -> DataFrame:
+    def run(batches):
+        batches = iter(batches)
+        head = next((b for b in batches if b.num_rows), None)
+        if head is None:
+            return
+        shard, rows, at = TaskContext.get().partitionId(), [], 0
+        uri = f"{where}/part-{shard:05d}"
+        with writing(uri) as out:
+            for k, (block, n_ids, n_done) in enumerate(blocks_of(chain([head], batches), _tables(f"{where}/tables"))):
+                out.write(block)
+                rows.append({"place": (shard << 24) + k, "uri": uri, "at": at, "size": len(block), "n_ids": n_ids, "n_done": n_done})
+                at += len(block)
+        yield pa.RecordBatch.from_pylist(rows, MANIFEST)
+
+    found = ordered.select("doc_id", "ids", "n").mapInArrow(tidy(run, "tables"), "place long, uri string, at long, size long, n_ids long, n_done long")
+    found = materialise(found, where, "manifest")
+    return materialise(running(found, "place", {"start": "n_ids", "ordinal": "n_done"}), where, "blocks")
+
+
+def read(spark: SparkSession, blocks: DataFrame, where: str, most_tasks: int = 50_000) -> DataFrame:
     """(ordinal, doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files block by block."""
-    if not blocks:
+    n = blocks.count()
+    if not n:
         return spark.createDataFrame([], "ordinal long, doc_id long, start long, n_tokens long, ids_crc32 long")
-    table = spark.createDataFrame(pa.Table.from_pylist(blocks)).repartition(-(-len(blocks) // 8))
+    table = blocks.select("uri", "at", "size", "start", "ordinal").repartition(min(most_tasks, -(-n // 8)))
 
     def run(batches):
         t = _tables(f"{where}/tables")
@@ -304,7 +313,7 @@ def read(spark: SparkSession, blocks: list[dict], where: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * (e - c) : 4 * e]) for e, c in zip(end.tolist(), many.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(b["ordinal"] + np.arange(len(many))), pa.array([d for d, _ in block.docs], pa.int64()), pa.array(b["start"] + end - many), pa.array(many), pa.array(crc, pa.int64()), pa.array(~cut)], ["ordinal", "doc_id", "start", "n_tokens", "ids_crc32", "whole"])
 
-    parts = materialise(table.mapInArrow(tidy(run), "ordinal long, doc_id long, start long, n_tokens long, ids_crc32 long, whole boolean"), where, "read")
+    parts = materialise(table.mapInArrow(tidy(run, "tables"), "ordinal long, doc_id long, start long, n_tokens long, ids_crc32 long, whole boolean"), where, "read")
     names = ["ordinal", "doc_id", "start", "n_tokens", "ids_crc32"]
     cut = parts.where("not whole").groupBy("ordinal").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("start", "n_tokens", "ids_crc32"))).alias("parts"))
 

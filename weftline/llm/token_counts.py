@@ -9,11 +9,13 @@ constant time on average, and the popped counts add up to the number of greedy
 longest-match pieces, which are never built.
 
 Words: the text lower-cased; runs of word characters, and every other visible
-character alone. Symbols are the bytes of a word. A word that cannot be split counts
-as one piece (unknown).
-Counts by word are kept in a bounded table for each worker.
+character alone. Symbols are the bytes of a word; where the vocabulary marks word ends
+a word's last byte is a symbol of its own, so that a piece with the mark matches there
+alone and no other piece takes that byte. A word that cannot be split counts as one piece
+(unknown). Counts by word are kept in a bounded table for each worker.
 
-Null and empty texts have no words and no pieces. Repeated rows are counted each.
+Null and empty texts have no words and no pieces. Very long texts and words are read
+whole. Ties do not arise: the longest match is one. Repeated rows are counted each.
 Input columns named like a result column are replaced.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._store import tidy
+from weftline.llm._store import KEPT, tidy
 
 WORDS = re.compile(r"\w+|[^\w\s]")
 MEMO = 1_000_000
@@ -43,32 +45,43 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def read_vocabulary(definition: str, end_mark: str = "</w>") -> tuple[list[tuple[int, ...]], list[tuple[int, ...]]]:
-    """Initial and continuing pieces of a tokenizers file. Word-piece: by its prefix. Byte-level: every piece may
-    stand anywhere in a word, and marks of word ends are dropped, so that no word lacks a split."""
+LAST = 256  # what a word's last byte has more than the same byte within
+
+
+def read_vocabulary(definition: str, end_mark: str = "</w>") -> tuple[list[tuple[int, ...]], list[tuple[int, ...]], bool]:
+    """Initial and continuing pieces of a tokenizers file, and whether words' last bytes are marked. Word-piece: by its
+    prefix. Byte-level: every piece may stand anywhere; with marks of word ends those pieces only at the end."""
     model = json.loads(definition)["model"]
     vocabulary = model["vocab"] if isinstance(model["vocab"], dict) else {p: i for i, (p, _) in enumerate(model["vocab"])}
     if model.get("type") == "WordPiece":
         prefix = model.get("continuing_subword_prefix", "##")
         initial = [tuple(p.encode()) for p in vocabulary if not p.startswith(prefix)]
-        return initial, [tuple(p[len(prefix) :].encode()) for p in vocabulary if p.startswith(prefix) and p != prefix]
+        return initial, [tuple(p[len(prefix) :].encode()) for p in vocabulary if p.startswith(prefix) and p != prefix], False
     table = byte_symbols()
-    bodies = {p.removesuffix(end_mark) for p in vocabulary}
-    out = [tuple(table[c] for c in p) for p in bodies if p and all(c in table for c in p)]
-    return out, out
+    out = []
+    for p in vocabulary:
+        body = p.removesuffix(end_mark)
+        if body and all(c in table for c in body):
+            b = [table[c] for c in body]
+            out.append(tuple(b if body == p else [*b[:-1], b[-1] + LAST]))
+    return out, out, any(p[-1] >= LAST for p in out)
 
 
 class Automaton:
-    """child: (node * 256 + symbol) to node; fail: failure links, -1 for none; pops: pieces popped by the link."""
+    """child: (node * 512 + symbol) to node; fail: failure links, -1 for none; pops: pieces popped by the link.
+
+    With ended, a word's last byte is read as that byte plus LAST.
+    """
 
-    def __init__(self, initial: Iterable[tuple[int, ...]], continuing: Iterable[tuple[int, ...]]):
+    def __init__(self, initial: Iterable[tuple[int, ...]], continuing: Iterable[tuple[int, ...]], ended: bool = False):
+        self.ended = ended
         self.child: dict[int, int] = {}
         self.fail, self.pops, accept = [-1, -1], [0, 0], [False, False]
         for root, pieces in ((0, initial), (1, continuing)):
             for piece in pieces:
                 u = root
                 for s in piece:
-                    key = u * 256 + s
+                    key = u * 512 + s
                     if key not in self.child:
                         self.child[key] = len(self.fail)
                         self.fail.append(-1)
@@ -78,7 +91,7 @@ class Automaton:
                 accept[u] |= u > 1
         below: dict[int, list[tuple[int, int]]] = {}
         for key, v in self.child.items():
-            below.setdefault(key // 256, []).append((key % 256, v))
+            below.setdefault(key // 512, []).append((key % 512, v))
         queue = deque((0, 1))
         while queue:
             u = queue.popleft()
@@ -87,18 +100,18 @@ class Automaton:
                     self.fail[v], self.pops[v] = 1, 1
                 else:
                     z, n = self.fail[u], self.pops[u]
-                    while z != -1 and z * 256 + s not in self.child:
+                    while z != -1 and z * 512 + s not in self.child:
                         n, z = n + self.pops[z], self.fail[z]
                     if z != -1:
-                        self.fail[v], self.pops[v] = self.child[z * 256 + s], n
+                        self.fail[v], self.pops[v] = self.child[z * 512 + s], n
                 queue.append(v)
 
     def count(self, word: bytes) -> int:
         """Greedy pieces of a word; 1 if it has no split."""
         child, fail, pops = self.child, self.fail, self.pops
         u = total = 0
-        for s in word:
-            while (v := child.get(u * 256 + s)) is None:
+        for s in [*word[:-1], word[-1] + LAST] if self.ended and word else word:
+            while (v := child.get(u * 512 + s)) is None:
                 if fail[u] == -1:
                     return 1
                 total += pops[u]
@@ -112,7 +125,7 @@ class Automaton:
         return total
 
 
-_automata: dict[int, tuple[Automaton, dict[str, int]]] = {}
+_automata: dict[int, tuple[Automaton, dict[str, int]]] = KEPT.setdefault("token_counts", {})
 
 
 def _automaton(definition: str) -> tuple[Automaton, dict[str, int]]:
@@ -145,4 +158,4 @@ def token_counts(docs: DataFrame, definition: str, text_col: str = "text") -> Da
                 n_pieces.append(sum(map(memo.__getitem__, found)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words, pa.int64()), pa.array(n_pieces, pa.int64())], [*kept, "n_words", "n_pieces"])
 
-    return docs.mapInArrow(tidy(run), schema)
+    return docs.mapInArrow(tidy(run, "token_counts"), schema)
