@@ -359,3 +359,59 @@ def test_personal_data_ugly(spark, ugly, empty):
     assert [got[1][f"n_{k}"] for k in pii.KINDS] == [1, 1, 1, 1] and got[2]["spans"] == ""
     assert got[3]["base"] == "ip:5001:5008" and set(got[1]["base"].split(",")) <= set(got[1]["spans"].split(","))
     assert pii.detect(ugly, net).count() == ugly.count() and pii.detect(empty, net).count() == 0
+
+
+@pytest.fixture(scope="module")
+def trained():
+    return pii.train([f"{w} mail a{k}@mail{k}.example.com und 10.0.{k}.7, version {k}.0" for k, w in enumerate(copies(n=40))])
+
+
+def test_network_adds_what_the_patterns_miss(trained):
+    """Held-out sentences: exact recall by kind of spans that meet no base span, and false ones."""
+    r, hit, all_, false = random.Random(99), [0] * 4, [0] * 4, 0
+    made = [pii.made_up(r) for _ in range(1500)]
+    texts = [t for t, _ in made]
+    base = [pii.base_spans(t) for t in texts]
+    for (_, want), own, found in zip(made, base, pii.added_spans(trained, texts, base), strict=True):
+        for k, a, b in want:
+            if all(b <= x or y <= a for _, x, y in own):
+                all_[k] += 1
+                hit[k] += (k, a, b) in found
+        false += sum(f not in want for f in found)
+    recall = [h / n for h, n in zip(hit, all_, strict=True)]
+    assert min(all_) > 50 and min(recall) >= 0.7 and recall[0] >= 0.8 and recall[1] >= 0.8, recall
+    assert false <= 0.05 * len(texts)
+
+
+def test_spans_run_through_many_windows(trained):
+    name = ".".join(["fürst", *["abcdefgh"] * 20])
+    text = "escribe a " + name + " @ mail.example.com pronto"
+    (own,) = pii.added_spans(trained, [text], [pii.base_spans(text)])
+    assert own == [(0, 10, len(text) - 7)] and own[0][2] - own[0][1] > 180
+    long_ = "x " * 100_000 + text
+    (far,) = pii.added_spans(trained, [long_], [[]])
+    assert far == [(k, a + 200_000, b + 200_000) for k, a, b in own]
+
+
+def test_query_of_personal_data_is_brute_force(spark, tmp_path):
+    """Every column of op5 that the patterns fix, on texts of all sorts; added spans meet none of them."""
+    import pandas as pd
+
+    from weftline.llm import queries
+
+    r = random.Random(3)
+    rows = [(i, " ".join(pii.made_up(r)[0] for _ in range(r.randrange(1, 6)))) for i in range(80)] + [(80, None), (81, ""), (82, "x" * 20_000 + " 10.1.2.3"), (82, "x" * 20_000 + " 10.1.2.3")]
+    pd.DataFrame(rows, columns=["doc_id", "text"]).to_parquet(tmp_path / "documents.parquet")
+    want = defaultdict(list)
+    for i, text in rows:
+        want[i].append(brute_base(text or ""))
+    got = queries.op5_pii(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        base = want[x["doc_id"]][0]
+        text = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in base)
+        assert x["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert [x[f"n_{k}"] for k in pii.KINDS] == [sum(b[0] == k for b in base) for k in range(4)]
+        spans = [s.split(":") for s in x["spans"].split(",") if s]
+        assert {f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in base} <= {":".join(s) for s in spans}
+        assert [(pii.KINDS.index(k), int(a)) for k, a, _ in spans] == sorted((pii.KINDS.index(k), int(a)) for k, a, _ in spans)

@@ -1,20 +1,25 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions.
 
 Every text is scanned whole. The fixed patterns give the base spans; all of them stay.
-Every kind of span holds a digit or an @, so windows of WIDTH characters, half
-overlapping, cover all that lies within half a window of one. A small network (numpy
-only) scores tags B/I by kind for every character, Viterbi decodes each window, and
-the windows are reconciled over the whole text: where spans of several windows meet,
-the one that lies farthest from its window's edges wins, then the longer one. A span is
-added, moved to whole words or numbers, if it meets no base span, the network is sure
-of it (mean probability of its tags), and its characters pass the check of its kind (Luhn, parts to 255, number of digits).
+No span of any kind passes its check without a digit or an @, so windows of WIDTH
+characters, half overlapping, lie wherever one is near, and nowhere else could a span be
+added. A small network (numpy only) scores tags B/I by kind for every character, Viterbi
+decodes each window, and the windows are reconciled over the whole text: every character
+takes its tag from the window in whose middle it lies, and spans are read from the joined
+tags, so a span may run through many windows. A span is added, moved to whole words or
+numbers, if it meets no base span, the network is sure of it (mean probability of its
+tags), and its characters pass the check of its kind (Luhn, parts to 255, number of
+digits, 254 characters of an e-mail). Of added spans that meet the surer stays, of equal
+ones the first.
 
 The network is trained on the driver from labelled spans: sentences made up around
-made-up data in many spellings, and the base spans of at most ``max_train`` documents.
+made-up data in many spellings, and windows of at most ``max_train`` documents of at most
+``max_chars`` characters that hold a base span, or too few digits for any.
 
-A null text is empty. Offsets are code points, ends exclusive. Repeated rows count
-each. Input columns named like a result column are replaced. An empty table gives an
-empty result; training then uses the made-up sentences alone.
+A null text is empty. Very long texts are read whole. Offsets are code points, ends
+exclusive. Repeated rows count each. Input columns named like a result column are
+replaced. An empty table gives an empty result; training then uses the made-up sentences
+alone.
 """
 
 from __future__ import annotations
@@ -32,7 +37,8 @@ from weftline.llm import _words as W
 from weftline.llm._store import tidy
 
 KINDS = ("email", "ip", "card", "phone")
-WIDTH, MAX_TRAIN, SURE = 64, 200, 0.6
+WIDTH, MAX_TRAIN, MAX_CHARS, SURE = 64, 200, 5_000, 0.5
+LONGEST = 254  # characters of an e-mail address
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -88,17 +94,17 @@ def base_spans(text: str) -> list[Span]:
 def valid(kind: int, s: str) -> bool:
     """The check that an added span must pass."""
     digits = "".join(c for c in s if "0" <= c <= "9")
-    letters = any(c.isalpha() for c in s)
     if kind == 0:
-        return s.count("@") == 1 and "." in s.partition("@")[2].strip(". ") and all(len(x.strip()) > 1 for x in s.split("@"))
-    if letters:
+        domain = s.partition("@")[2].strip(". ")
+        return len(s) <= LONGEST and s.count("@") == 1 and "." in domain and not domain.replace(".", "").isdigit() and all(len(x.strip()) > 1 for x in s.split("@"))
+    if any(c.isalpha() for c in s):
         return False
+    groups = NUMBER.findall(s)
     if kind == 1:
-        parts = NUMBER.findall(s)
-        return len(parts) == 4 and all(map(small, parts))
+        return len(groups) == 4 and all(map(small, groups))
     if kind == 2:
         return 13 <= len(digits) <= 19 and luhn(digits)
-    return 9 <= len(digits) <= 15 and len(NUMBER.findall(s)) >= 3 and s[0] in "(+0"
+    return 9 <= len(digits) <= 15 and len(groups) >= 2 and (s[0] in "(+" or s[0].isdigit())
 
 
 _OWN = " \n.,@+-()_%:/#[]='\"!?*&$"
@@ -130,59 +136,57 @@ def tags(n: int, spans: list[Span]) -> np.ndarray:
 
 
 class Network:
-    """Embedding, one LSTM each way, tag scores and transitions."""
+    """Embedding, one LSTM each way (the second reads from the end), tag scores and transitions."""
 
-    def __init__(self, hidden: int = 16, width: int = 10, seed: int = 1):
+    def __init__(self, hidden: int = 20, width: int = 12, seed: int = 1, dtype: type = np.float64):
         r = np.random.default_rng(seed)
-        g = lambda *s: r.normal(0, 1 / np.sqrt(s[0]), s)
-        self.h = hidden
-        self.p = {"e": r.normal(0, 0.5, (SYMBOLS, width)), "o": g(2 * hidden, TAGS), "ob": np.zeros(TAGS), "t": np.zeros((TAGS, TAGS)), "s": np.zeros(TAGS)}
-        for way in "fb":
-            bias = np.zeros(4 * hidden)
-            bias[hidden : 2 * hidden] = 1
-            self.p |= {f"x{way}": g(width, 4 * hidden), f"h{way}": g(hidden, 4 * hidden), f"c{way}": bias}
-
-    def _lstm(self, x: np.ndarray, way: str):
-        n, t, _ = x.shape
-        h = self.h
-        z = x @ self.p[f"x{way}"] + self.p[f"c{way}"]
-        out, keep = np.zeros((n, t, h)), []
-        a, c = np.zeros((n, h)), np.zeros((n, h))
-        for k in range(t) if way == "f" else range(t - 1, -1, -1):
-            y = z[:, k] + a @ self.p[f"h{way}"]
-            gate = 1 / (1 + np.exp(-np.clip(y[:, : 3 * h], -30, 30)))
-            new = np.tanh(y[:, 3 * h :])
-            c0, a0 = c, a
-            c = gate[:, h : 2 * h] * c0 + gate[:, :h] * new
-            tc = np.tanh(c)
-            a = gate[:, 2 * h :] * tc
-            out[:, k] = a
-            keep.append((k, gate, new, c0, a0, tc))
-        return out, keep
+        g = lambda *s: r.normal(0, 1 / np.sqrt(s[-2]), s)
+        bias = np.zeros((2, 1, 4 * hidden))
+        bias[:, :, hidden : 2 * hidden] = 1
+        p = {"e": r.normal(0, 0.5, (SYMBOLS, width)), "x": g(2, width, 4 * hidden), "h": g(2, hidden, 4 * hidden), "c": bias, "o": g(2 * hidden, TAGS), "ob": np.zeros(TAGS), "t": np.zeros((TAGS, TAGS)), "s": np.zeros(TAGS)}
+        self.h, self.p = hidden, {k: v.astype(dtype) for k, v in p.items()}
 
     def scores(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
         e = self.p["e"][x]
-        f, kf = self._lstm(e, "f")
-        b, kb = self._lstm(e, "b")
-        both = np.concatenate([f, b], 2)
+        n, t, w = e.shape
+        both = np.stack([e, e[:, ::-1]])
+        z = (both.reshape(2, n * t, w) @ self.p["x"] + self.p["c"]).reshape(2, n, t, -1)
+        h, steps = self.h, []
+        out = np.zeros((2, n, t, h), z.dtype)
+        a, c = np.zeros((2, n, h), z.dtype), np.zeros((2, n, h), z.dtype)
+        for k in range(t):
+            y = z[:, :, k] + a @ self.p["h"]
+            gate = 1 / (1 + np.exp(-np.clip(y[..., : 3 * h], -30, 30)))
+            new = np.tanh(y[..., 3 * h :])
+            c0, a0 = c, a
+            c = gate[..., h : 2 * h] * c0 + gate[..., :h] * new
+            tc = np.tanh(c)
+            a = gate[..., 2 * h :] * tc
+            out[:, :, k] = a
+            if keep is not None:
+                steps.append((gate, new, c0, a0, tc))
+        both_ways = np.concatenate([out[0], out[1][:, ::-1]], 2)
         if keep is not None:
-            keep |= {"e": e, "f": kf, "b": kb, "both": both}
-        return both @ self.p["o"] + self.p["ob"]
-
-    def _back(self, d: np.ndarray, keep: list, e: np.ndarray, way: str, grad: dict) -> np.ndarray:
-        h, de = self.h, np.zeros_like(e)
-        da, dc = np.zeros((len(e), h)), np.zeros((len(e), h))
-        for k, gate, new, c0, a0, tc in reversed(keep):
-            da = da + d[:, k]
-            i, f, o = gate[:, :h], gate[:, h : 2 * h], gate[:, 2 * h :]
+            keep |= {"in": both, "steps": steps, "both": both_ways}
+        return both_ways @ self.p["o"] + self.p["ob"]
+
+    def _back(self, d: np.ndarray, keep: dict, grad: dict) -> np.ndarray:
+        """d: gradient of the states, by way and step; returns that of the embeddings."""
+        h, e = self.h, keep["in"]
+        de = np.zeros_like(e)
+        da, dc = np.zeros((2, e.shape[1], h), e.dtype), np.zeros((2, e.shape[1], h), e.dtype)
+        for k in range(e.shape[2] - 1, -1, -1):
+            gate, new, c0, a0, tc = keep["steps"][k]
+            da = da + d[:, :, k]
+            i, f, o = gate[..., :h], gate[..., h : 2 * h], gate[..., 2 * h :]
             dc = dc + da * o * (1 - tc * tc)
-            y = np.concatenate([dc * new * i * (1 - i), dc * c0 * f * (1 - f), da * tc * o * (1 - o), dc * i * (1 - new * new)], 1)
-            grad[f"x{way}"] += e[:, k].T @ y
-            grad[f"h{way}"] += a0.T @ y
-            grad[f"c{way}"] += y.sum(0)
-            de[:, k] = y @ self.p[f"x{way}"].T
-            da, dc = y @ self.p[f"h{way}"].T, dc * f
-        return de
+            y = np.concatenate([dc * new * i * (1 - i), dc * c0 * f * (1 - f), da * tc * o * (1 - o), dc * i * (1 - new * new)], 2)
+            grad["x"] += e[:, :, k].transpose(0, 2, 1) @ y
+            grad["h"] += a0.transpose(0, 2, 1) @ y
+            grad["c"] += y.sum(1, keepdims=True)
+            de[:, :, k] = y @ self.p["x"].transpose(0, 2, 1)
+            da, dc = y @ self.p["h"].transpose(0, 2, 1), dc * f
+        return de[0] + de[1][:, ::-1]
 
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean negative log-likelihood of the tag sequences, and its gradient."""
@@ -210,7 +214,7 @@ class Network:
         grad["o"] = np.einsum("ntk,ntj->kj", keep["both"], ds)
         grad["ob"] = ds.sum((0, 1))
         dboth = ds @ self.p["o"].T
-        de = self._back(dboth[:, :, : self.h], keep["f"], keep["e"], "f", grad) + self._back(dboth[:, :, self.h :], keep["b"], keep["e"], "b", grad)
+        de = self._back(np.stack([dboth[:, :, : self.h], dboth[:, ::-1, self.h :]]), keep, grad)
         np.add.at(grad["e"], x, de)
         return float((z.sum() - gold) / n), grad
 
@@ -243,61 +247,67 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
 
 def made_up(r: random.Random) -> tuple[str, list[Span]]:
     """A stretch of text around one or no made-up span."""
-    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzéüñ") for _ in range(r.randint(2, 9)))
-    ascii_word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 8)))
-    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    kind = r.choice([0, 1, 2, 3, 3, -1, -1])
+    some = lambda letters, a, b: "".join(r.choice(letters) for _ in range(r.randint(a, b)))
+    word = lambda: some("abcdefghijklmnopqrstuvwxyzéüñ", 2, 9)
+    ascii_word = lambda: some("abcdefghijklmnopqrstuvwxyz", 2, 8)
+    digits = lambda n: some("0123456789", n, n)
+    kind = r.choice([0, 0, 1, 2, 3, 3, -1, -1, -1])
     if kind == 0:
-        s = r.choice([".", "", "_", "+", "-"]).join([r.choice([ascii_word, word])(), r.choice([ascii_word(), digits(2)])]) + r.choice(["@", "@", "@", " @ "]) + ".".join([r.choice([ascii_word, word])(), r.choice(["com", "org", "example.com", "de", "net"])])
+        name = r.choice([".", "", "_", "+", "-"]).join([r.choice([ascii_word, word])(), r.choice([ascii_word(), digits(2), word()])])
+        if r.random() < 0.1:
+            name = ".".join([name, *(word() for _ in range(r.randint(2, 6)))])
+        s = name + r.choice(["@", "@", " @ ", "@ ", " @"]) + r.choice([".", ".", ".", "-"]).join([r.choice([ascii_word, word])(), r.choice(["mail", digits(1), ascii_word()])]) + "." + r.choice(["com", "org", "example.com", "de", "net", "co.uk"])
     elif kind == 1:
-        s = r.choice([".", ".", " . ", "[.]"]).join(str(r.randint(0, 255)) for _ in range(4))
+        s = r.choice([".", " . ", "[.]", ". ", " ."]).join(str(r.randint(0, 255)) for _ in range(4))
     elif kind == 2:
         d = digits(r.randint(13, 19))[:-1]
         d += next(c for c in "0123456789" if luhn(d + c))
-        sep = r.choice(["", " ", "-", ".", "/", "_"])
+        sep = r.choice(["", " ", "-", ".", "/", "_", "  ", " - "])
         s = sep.join(d[k : k + 4] for k in range(0, len(d), 4))
     elif kind == 3:
-        sep = r.choice(["-", " ", ".", " - "])
-        s = r.choice(["+" + digits(2) + sep, "(" + digits(3) + ") ", "00" + digits(2) + sep, "0" + digits(3) + "/"]) + sep.join(digits(r.randint(3, 4)) for _ in range(r.randint(2, 3)))
+        sep = r.choice(["-", " ", ".", " - ", "/"])
+        s = r.choice(["+" + digits(2) + sep, "+ " + digits(2) + sep, "(" + digits(3) + ") ", "00" + digits(2) + sep, "0" + digits(3) + r.choice(["/", " ", "-"]), digits(3) + sep]) + sep.join(digits(r.randint(3, 4)) for _ in range(r.randint(2, 3)))
     else:
-        s = r.choice([digits(r.randint(1, 8)), f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}", f"{digits(1)}.{digits(2)}", "".join(r.choice("0123456789abcdef") for _ in range(32)), f"${digits(3)},{digits(3)}", "@" + ascii_word(), f"v{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(4)}/{digits(2)}"])
-    left = r.choice([" ", "\n", " (", ": ", "= ", ""]).join([" ".join(word() for _ in range(r.randint(1, 6))), ""]) or " "
-    left = left if left[-1] in " \n(" else left + " "
-    right = r.choice([" ", ". ", ", ", "\n", ") ", "### "]) + " ".join(word() for _ in range(r.randint(1, 6)))
+        date = f"{digits(4)}-{digits(2)}-{digits(2)}"
+        s = r.choice([digits(r.randint(1, 8)), date, f"{date} {digits(2)}:{digits(2)}:{digits(2)}", f"{date}T{digits(2)}:{digits(2)}", f"{digits(2)}:{digits(2)}", f"{digits(1)}.{digits(2)}", some("0123456789abcdef", 32, 40), f"${digits(3)},{digits(3)}", "@" + ascii_word(), f"v{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(4)}/{digits(2)}", f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", f"{digits(2)}.{digits(4)}, {digits(2)}.{digits(4)}", f"pp. {digits(3)}-{digits(3)}", ", ".join(digits(r.randint(2, 4)) for _ in range(r.randint(2, 5))), f"{ascii_word()} @ {ascii_word()} {ascii_word()}"])
+    left = " ".join(word() for _ in range(r.randint(0, 6))) + r.choice([" ", "\n", " (", ": ", "= "]) if r.random() < 0.95 else ""
+    right = r.choice([" ", ". ", ", ", "\n", ") ", "### ", "; "]) + " ".join(word() for _ in range(r.randint(1, 6))) if r.random() < 0.95 else ""
     return left + s + right, [(kind, len(left), len(left) + len(s))] if kind >= 0 else []
 
 
-def train(texts: list[str], steps: int = 450, batch: int = 32, seed: int = 4) -> Network:
+def train(texts: list[str], steps: int = 700, batch: int = 48, seed: int = 4) -> Network:
     """texts: documents whose base spans serve as labels beside the made-up ones."""
-    r, net, pool = random.Random(seed), Network(), []
+    r, net, pool = random.Random(seed), Network(dtype=np.float32), []
     for text in texts:
         spans = base_spans(text)
         for m in re.finditer(r"[0-9@]", text):
             a = max(0, m.start() - r.randint(8, WIDTH - 8))
             if not pool or pool[-1][2] != (id(text), a // 16):
                 own = [(k, x - a, y - a) for k, x, y in spans if x >= a and y <= a + WIDTH]
-                if all(not (x < a < y or x < a + WIDTH < y) for _, x, y in spans):
+                part = text[a : a + WIDTH]  # without a base span it teaches only if it can hold no span at all
+                bare = "@" not in part and sum(c.isdigit() for c in part) < 9 and len(NUMBER.findall(part)) < 4
+                if (own or bare) and all(not (x < a < y or x < a + WIDTH < y) for _, x, y in spans):
                     pool.append((text[a : a + WIDTH], own, (id(text), a // 16)))
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     for step in range(1, steps + 1):
         x, y = np.zeros((batch, WIDTH), np.int64), np.zeros((batch, WIDTH), np.int64)
         for k in range(batch):
-            if pool and k % 4 == 0:
+            if pool and k % 6 == 0:
                 text, spans, _ = r.choice(pool)
             else:
                 text, spans = made_up(r)
-                cut = min(r.randint(0, 8), spans[0][1] if spans else 8)
-                text, spans = text[cut : cut + WIDTH], [(q, a - cut, b - cut) for q, a, b in spans if b - cut <= WIDTH]
+                cut = max(0, r.randint(-len(text), max(0, len(text) - 8)))  # a window may begin and end within a span
+                text, spans = text[cut : cut + WIDTH], [(q, max(0, a - cut), min(WIDTH, b - cut)) for q, a, b in spans if b > cut and a < cut + WIDTH]
             x[k, : len(text)] = symbols(text)
             y[k, : len(text)] = tags(len(text), spans)
         _, grad = net.loss(x, y)
-        norm = np.sqrt(sum((g * g).sum() for g in grad.values()))
-        rate = 0.02 * min(1.0, 5 / norm) * (1 - 0.8 * step / steps)
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+        rate = 0.02 * min(1.0, 5 / norm) * (1 - 0.9 * step / steps)
         for k, g in grad.items():
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
-            net.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+            net.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(g.dtype)
     return net
 
 
@@ -311,44 +321,52 @@ def windows(text: str) -> list[int]:
     return out
 
 
-def added_spans(net: Network, texts: list[str], bases: list[list[Span]], sure: float = SURE, chunk: int = 512) -> list[list[Span]]:
-    """The network's spans of each text, reconciled, without those that meet a base span."""
-    jobs = [(i, a) for i, text in enumerate(texts) for a in windows(text)]
-    found: dict[int, list[tuple]] = {}
-    coded: dict[int, np.ndarray] = {}
+def joined_tags(net: Network, texts: list[str], chunk: int = 512) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text every character's tag and its probability, from the window in whose middle it lies; 0 where no window is."""
+    quarter = WIDTH // 4
+    out = [(np.zeros(len(t), np.int8), np.zeros(len(t), np.float32)) for t in texts]
+    jobs = []
+    for i, text in enumerate(texts):
+        starts = windows(text)
+        near = set(starts)
+        jobs += [(i, a, quarter if a - WIDTH // 2 in near else 0, WIDTH - quarter if a + WIDTH // 2 in near else WIDTH) for a in starts]
+    coded: tuple[int, np.ndarray] = (-1, np.zeros(0, np.int64))
     for lo in range(0, len(jobs), chunk):
         part = jobs[lo : lo + chunk]
         x = np.zeros((len(part), WIDTH), np.int64)
-        for k, (i, a) in enumerate(part):
-            if i not in coded:
-                coded.clear()
-                coded[i] = symbols(texts[i])
-            s = coded[i][a : a + WIDTH]
+        for k, (i, a, *_) in enumerate(part):
+            if coded[0] != i:
+                coded = (i, symbols(texts[i]))
+            s = coded[1][a : a + WIDTH]
             x[k, : len(s)] = s
         y, p = net.decode(x)
-        for k in np.flatnonzero((y > 0).any(1)):
-            i, a = part[k]
-            t = 0
-            while t < WIDTH:
-                if y[k, t] % 2 == 1:
-                    kind, e = (y[k, t] - 1) // 2, t + 1
-                    while e < WIDTH and y[k, e] == 2 + 2 * kind:
-                        e += 1
-                    inner = (t > 0 or a == 0) and (e < WIDTH or a + e >= len(texts[i]))
-                    b, f = snapped(texts[i], int(kind), a + t, min(a + e, len(texts[i])))
-                    if inner and p[k, t:e].mean() >= sure and b < f and valid(kind, texts[i][b:f]):
-                        found.setdefault(i, []).append((-min(t, WIDTH - e), -(f - b), b, f, int(kind)))
-                    t = e
-                else:
-                    t += 1
-    out: list[list[Span]] = [[] for _ in texts]
-    for i, spans in found.items():
-        taken = [(a, b) for _, a, b in bases[i]]
-        for _, _, a, b, kind in sorted(spans):
-            apart = (a == 0 or not texts[i][a - 1].isalnum()) and (b == len(texts[i]) or not texts[i][b].isalnum())
+        for k, (i, a, b, e) in enumerate(part):
+            e = min(e, len(texts[i]) - a)
+            out[i][0][a + b : a + e], out[i][1][a + b : a + e] = y[k, b:e], p[k, b:e]
+    return out
+
+
+def added_spans(net: Network, texts: list[str], bases: list[list[Span]], sure: float = SURE) -> list[list[Span]]:
+    """The network's spans of each text, without those that meet a base span or a surer one."""
+    out: list[list[Span]] = []
+    for text, base, (tag, p) in zip(texts, bases, joined_tags(net, texts), strict=True):
+        kinds = (tag.astype(np.int64) + 1) // 2
+        edge = np.flatnonzero(np.concatenate([[True], (kinds[1:] != kinds[:-1]) | (tag[1:] % 2 == 1)])) if len(tag) else np.zeros(0, np.int64)
+        found = []
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(tag)], strict=True):
+            if kinds[a] and (trust := float(p[a:b].mean())) >= sure:
+                kind = int(kinds[a]) - 1
+                a, b = snapped(text, kind, a, b)
+                kind = kind_of(kind, text[a:b]) if a < b else kind
+                if a < b and valid(kind, text[a:b]):
+                    found.append((-trust, a, b, kind))
+        own, taken = [], [(a, b) for _, a, b in base]
+        for _, a, b, kind in sorted(found):
+            apart = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
             if apart and all(b <= x or y <= a for x, y in taken):
                 taken.append((a, b))
-                out[i].append((kind, a, b))
+                own.append((kind, a, b))
+        out.append(own)
     return out
 
 
@@ -357,24 +375,41 @@ def snapped(text: str, kind: int, a: int, b: int) -> tuple[int, int]:
     inside = (lambda c: c.isalnum() or c in "._%+-") if kind == 0 else str.isdigit
     while a > 0 and inside(text[a - 1]):
         a -= 1
-    while b < len(text) and (text[b].isalnum() if kind == 0 else text[b].isdigit()):
+    while b < len(text) and (text[b].isalnum() or (kind == 0 and text[b] in ".-" and text[b + 1 : b + 2].isalnum())):
         b += 1
     while a < b and not text[a].isalnum() and not (kind == 3 and text[a] in "+("):
         a += 1
     while a < b and not text[b - 1].isalnum():
         b -= 1
-    if kind == 3 and a > 0 and text[a - 1] in "+(":
-        a -= 1
+    if kind == 3:
+        if a > 0 and text[a - 1] == "(" and text[a] != "(" and ")" in text[a:b]:
+            a -= 1
+        for sign in ("+", "+ "):
+            if text[a - len(sign) : a] == sign and a >= len(sign):
+                a -= len(sign)
+        if a < b and text[a] == "(" and ")" not in text[a:b]:
+            a += 1
     return a, b
 
 
+def kind_of(kind: int, s: str) -> int:
+    """Numbers of 13 digits and more in groups that begin with four, and pass Luhn, are cards; others fit one of the two kinds only."""
+    if kind in (2, 3):
+        groups = NUMBER.findall(s)
+        if valid(2, s) and s[0].isdigit() and len(groups[0]) >= 4:
+            return 2
+        if kind == 2 and not valid(2, s) and s[0] in "+(":
+            return 3
+    return kind
+
+
 def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
-def labelled_sample(docs: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
-    """At most max_train texts (of up to 5,000 characters) with a digit or an @, those with the smallest hash of their id."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").rlike("[0-9@]") & (F.length("_text") <= 5000))
+def labelled_sample(docs: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
+    """At most max_train texts of at most max_chars characters with a digit or an @, those with the smallest hash of their id."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").rlike("[0-9@]") & (F.length("_text") <= max_chars))
     order = F.crc32(F.col("_id").cast("string"))
     keys = rows.select("_id").where("_id is not null").distinct().orderBy(order, "_id").limit(max_train)  # ids first: tasks send no texts but the chosen
     chosen = rows.join(F.broadcast(keys), "_id").orderBy(order, "_id", "_text")
