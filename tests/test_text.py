@@ -73,9 +73,9 @@ def test_shared_runs_share_a_fingerprint(spark):
 
 
 def test_manifest_and_shared_names(spark):
-    a = spark.createDataFrame([("x", "1"), ("y", "2"), ("z", None)], "path string, sha string")
-    b = spark.createDataFrame([("x", "1"), ("y", "3"), ("w", "4")], "path string, sha string")
-    assert {(r[0], r[1]) for r in review.manifest_diff(a, b).where("path <> 'z'").collect()} == {("y", "modified"), ("w", "deleted")}
+    a = spark.createDataFrame([("x", "1"), ("y", "2"), ("z", None), ("v", None)], "path string, sha string")
+    b = spark.createDataFrame([("x", "1"), ("y", "3"), ("w", "4"), ("v", None)], "path string, sha string")
+    assert {(r[0], r[1]) for r in review.manifest_diff(a, b).collect()} == {("y", "modified"), ("w", "deleted"), ("z", "added")}
     n = spark.createDataFrame([("one.py", "main"), ("two.py", "main"), ("c.py", "Login"), ("d.py", "login"), ("e.py", "solo")], "path string, name string")
     assert {r["id"] for r in review.shared_ids(n).collect()} == {"one.main", "two.main", "c.Login", "d.login", "solo"}
 

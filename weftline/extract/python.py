@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODES = "id string, kind string, path string, start int, end int, cls string, doc string, params int, complexity int, depth int, bases array<string>"
-CALLS = "source string, path string, cls string, receiver string, name string, line int, loop boolean, cond boolean"
+NODES = "id string, kind string, path string, start int, end int, cls string, doc string, params int, complexity int, depth int, bases array<string>, signature string, decorators array<string>, routes array<string>, entry string, attrs array<string>"
+CALLS = "source string, path string, cls string, receiver string, name string, line int, loop boolean, cond boolean, rtype string, rmodule string"
+#: decorators' names that state a route's method.
+VERBS = ("get", "post", "put", "patch", "delete")
 _BRANCH = (ast.If, ast.IfExp, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.comprehension)
 _BLOCK = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith, ast.Match)
 _DEF = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -81,31 +83,125 @@ def calls_of(f: ast.AST):
             yield from walk(s, False, False)
 
 
+def type_name(annotation: ast.expr | None) -> str | None:
+    """The class that an annotation names: a name, the last part of a dotted one, a quoted one, or one of an Optional or | None."""
+    if isinstance(annotation, ast.Constant) and isinstance(annotation.value, str):
+        return annotation.value.rpartition(".")[2] if annotation.value.replace(".", "").isidentifier() else None
+    if isinstance(annotation, ast.Name):
+        return annotation.id
+    if isinstance(annotation, ast.Attribute):
+        return annotation.attr
+    if isinstance(annotation, ast.Subscript) and type_name(annotation.value) == "Optional":
+        return type_name(annotation.slice)
+    if isinstance(annotation, ast.BinOp) and isinstance(annotation.op, ast.BitOr):
+        sides = [x for x in (annotation.left, annotation.right) if not (isinstance(x, ast.Constant) and x.value is None)]
+        return type_name(sides[0]) if len(sides) == 1 else None
+    return None
+
+
+def made(value: ast.expr | None) -> str | None:
+    """The class that an expression makes an object of: a call of a capitalised name."""
+    name = type_name(value.func) if isinstance(value, ast.Call) else None
+    return name if name and name[:1].isupper() else None
+
+
+def typed(f: ast.AST) -> dict[str, str]:
+    """Names within a function or module that the source gives a class: annotated, or assigned an object made on the spot."""
+    out: dict[str, str] = {}
+    if isinstance(f, _DEF):
+        a = f.args
+        out |= {x.arg: t for x in [*a.posonlyargs, *a.args, *a.kwonlyargs] if (t := type_name(x.annotation))}
+    lost = set()
+    for n in f.body if isinstance(f, ast.Module) else own(f):
+        if isinstance(n, ast.AnnAssign) and isinstance(n.target, ast.Name) and (t := type_name(n.annotation)):
+            out[n.target.id] = t
+        elif isinstance(n, ast.Assign):
+            for x in n.targets:
+                if isinstance(x, ast.Name):
+                    t = made(n.value)
+                    if t is None or out.get(x.id, t) != t:
+                        lost.add(x.id)
+                    else:
+                        out[x.id] = t
+    return {k: t for k, t in out.items() if k not in lost}
+
+
+def attributes(c: ast.ClassDef) -> dict[str, str]:
+    """Declared classes of a class's attributes: annotated in its body, or given to self by an annotated or made object."""
+    out = {n.target.id: t for n in c.body if isinstance(n, ast.AnnAssign) and isinstance(n.target, ast.Name) and (t := type_name(n.annotation))}
+    for f in c.body:
+        if isinstance(f, _DEF):
+            names = typed(f)
+            for n in own(f):
+                for x in [n.target] if isinstance(n, ast.AnnAssign) else n.targets if isinstance(n, ast.Assign) else []:
+                    if isinstance(x, ast.Attribute) and isinstance(x.value, ast.Name) and x.value.id == "self":
+                        t = type_name(n.annotation) if isinstance(n, ast.AnnAssign) else names.get(n.value.id) if isinstance(n.value, ast.Name) else made(n.value)
+                        if t:
+                            out.setdefault(x.attr, t)
+    return out
+
+
+def routes_of(f: ast.AST) -> list[str]:
+    """METHOD /path of the decorators of a function."""
+    out = []
+    for d in f.decorator_list:
+        if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.args and isinstance(d.args[0], ast.Constant) and str(d.args[0].value).startswith("/"):
+            if d.func.attr in VERBS:
+                out.append(f"{d.func.attr.upper()} {d.args[0].value}")
+            elif d.func.attr == "route":
+                listed = next((k.value for k in d.keywords if k.arg == "methods"), None)
+                methods = [e.value for e in listed.elts if isinstance(e, ast.Constant)] if isinstance(listed, (ast.List, ast.Tuple)) else ["GET"]
+                out += [f"{str(x).upper()} {d.args[0].value}" for x in methods]
+    return out
+
+
 def parse(path: str, text: str) -> tuple[list[dict], list[dict]]:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return [], []
     nodes, calls = [], []
+    imported: dict[str, str] = {}  # a name here: the name in its module
+    modules: dict[str, str] = {}  # a name here: the module
+    for n in ast.walk(tree):
+        if isinstance(n, ast.ImportFrom):
+            imported |= {x.asname or x.name: x.name for x in n.names}
+        elif isinstance(n, ast.Import):
+            modules |= {x.asname or x.name: x.name for x in n.names}
+    outside = typed(tree)
+
+    def add_calls(source: str, cls: str | None, f: ast.AST) -> None:
+        names = outside | (typed(f) if f is not tree else {})
+        for r, c, line, loop, cond in calls_of(f):
+            t = names.get(r) if r else None
+            calls.append({"source": source, "path": path, "cls": cls, "receiver": imported.get(r, r), "name": imported.get(c, c) if r is None else c, "line": line, "loop": loop, "cond": cond, "rtype": imported.get(t, t), "rmodule": modules.get(r) if r else None})
+
+    loaded = {c for r, c, *_ in calls_of(tree) if r is None}
 
     def visit(body: list[ast.stmt], cls: str | None) -> None:
         for n in body:
             if isinstance(n, ast.ClassDef):
                 start = min([n.lineno, *(d.lineno for d in n.decorator_list)])
-                nodes.append({"id": n.name, "kind": "class", "path": path, "start": start, "end": n.end_lineno, "cls": None, "doc": (ast.get_docstring(n) or "").partition("\n")[0], "params": 0, "complexity": 0, "depth": 0, "bases": [ast.unparse(b) for b in n.bases]})
+                attrs = [f"{k}:{imported.get(t, t)}" for k, t in sorted(attributes(n).items())]
+                nodes.append({"id": n.name, "kind": "class", "path": path, "start": start, "end": n.end_lineno, "cls": None, "doc": (ast.get_docstring(n) or "").partition("\n")[0], "params": 0, "complexity": 0, "depth": 0, "bases": [ast.unparse(b) for b in n.bases], "signature": f"class {n.name}", "decorators": [ast.unparse(d) for d in n.decorator_list], "routes": [], "entry": None, "attrs": attrs})
                 visit(n.body, n.name)
             elif isinstance(n, _DEF):
                 name = f"{cls}.{n.name}" if cls else n.name
                 a = n.args
                 params = [x.arg for x in [*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg))]]
                 start = min([n.lineno, *(d.lineno for d in n.decorator_list)])
-                nodes.append({"id": name, "kind": "method" if cls else "function", "path": path, "start": start, "end": n.end_lineno, "cls": cls, "doc": (ast.get_docstring(n) or "").partition("\n")[0], "params": len(params) - (bool(cls) and params[:1] in (["self"], ["cls"])), "complexity": complexity(n), "depth": depth(n.body), "bases": []})
-                calls.extend({"source": name, "path": path, "cls": cls, "receiver": r, "name": c, "line": line, "loop": loop, "cond": cond} for r, c, line, loop, cond in calls_of(n))
-            elif isinstance(n, (ast.If, ast.Try)):
-                visit(n.body, cls)
+                routes = routes_of(n)
+                entry = "init" if cls and n.name == "__init__" else "module" if not cls and n.name in loaded else None
+                nodes.append({"id": name, "kind": "endpoint" if routes else "method" if cls else "function", "path": path, "start": start, "end": n.end_lineno, "cls": cls, "doc": (ast.get_docstring(n) or "").partition("\n")[0], "params": len(params) - (bool(cls) and params[:1] in (["self"], ["cls"])), "complexity": complexity(n), "depth": depth(n.body), "bases": [], "signature": f"{n.name}({ast.unparse(a)})" + (f" -> {ast.unparse(n.returns)}" if n.returns else ""), "decorators": [ast.unparse(d) for d in n.decorator_list], "routes": routes, "entry": entry, "attrs": []})
+                add_calls(name, cls, n)
+            else:  # definitions under if, try, with and loops
+                for part in ("body", "orelse", "finalbody"):
+                    visit(getattr(n, part, []), cls)
+                for h in getattr(n, "handlers", []):
+                    visit(h.body, cls)
 
     visit(tree.body, None)
-    calls.extend({"source": path, "path": path, "cls": None, "receiver": r, "name": c, "line": line, "loop": loop, "cond": cond} for r, c, line, loop, cond in calls_of(tree))
+    add_calls(path, None, tree)
     return nodes, calls
 
 
@@ -135,21 +231,35 @@ def calls(files: DataFrame) -> DataFrame:
 
 
 def resolve(calls: DataFrame, nodes: DataFrame, up: DataFrame | None = None) -> DataFrame:
-    """(source, target, line, loop, cond) of calls whose target the source states: own class, an ancestor (up(cls, base)), a class by name, or a function of the file, else of the only file that defines it."""
+    """(source, target, line, loop, cond) of calls whose target the source states; others are dropped.
+
+    The receiver's class: the own one (self, cls), a declared attribute's (self.x), a typed name's, or a class by
+    name; its method, or an ancestor's (up(cls, base)). A call without a receiver means a function of the file, else
+    of the only file that defines it; one through a module's name a function of that module's file.
+    """
+    kept = ["source", "target", "line", "loop", "cond"]
     method = nodes.where("cls is not null").select(F.col("id").alias("target"), F.col("cls").alias("c"), F.substring_index("id", ".", -1).alias("n"))
-    call = calls.select("source", "path", "cls", "receiver", "name", "line", "loop", "cond")
-    own = call.where("receiver in ('self', 'cls') and cls is not null").join(method, (F.col("cls") == F.col("c")) & (F.col("name") == F.col("n")))
-    found = own.select("source", "target", "line", "loop", "cond")
+    attr = nodes.where("kind = 'class'").select(F.col("id").alias("k"), F.explode("attrs").alias("x")).select("k", F.substring_index("x", ":", 1).alias("attr"), F.substring_index("x", ":", -1).alias("type"))
+    call = calls.select("source", "path", "cls", "receiver", "name", "line", "loop", "cond", "rtype", "rmodule").withColumn("key", F.monotonically_increasing_id())
+    own = F.col("receiver").isin("self", "cls") & F.col("cls").isNotNull()
+    above = (F.col("receiver") == "super()") & F.col("cls").isNotNull()
+    field = F.when(F.col("receiver").rlike(r"^self\.\w+$"), F.substring("receiver", 6, 1 << 30))
+    call = call.withColumn("field", field).join(attr, (F.col("cls") == F.col("k")) & (F.col("field") == F.col("attr")), "left")
+    on = F.when(own, F.col("cls")).when(above, F.lit(None)).when(F.col("field").isNotNull(), F.col("type")).otherwise(F.coalesce("rtype", "receiver"))
+    call = call.withColumn("on", on)
+    sent = call.where("receiver is not null")
+    direct = sent.join(method, (F.col("on") == F.col("c")) & (F.col("name") == F.col("n")))
+    found = direct.select(*kept)
     if up is not None:
-        missing = call.where("receiver in ('self', 'cls', 'super()') and cls is not null").join(method, (F.col("cls") == F.col("c")) & (F.col("name") == F.col("n")), "left_anti")
-        found = found.unionByName(missing.join(up.select(F.col("cls").alias("k"), "base"), F.col("cls") == F.col("k")).join(method, (F.col("base") == F.col("c")) & (F.col("name") == F.col("n"))).select("source", "target", "line", "loop", "cond"))
-    named = call.where("receiver is not null").join(method, (F.col("receiver") == F.col("c")) & (F.col("name") == F.col("n"))).select("source", "target", "line", "loop", "cond")
-    function = nodes.where("kind = 'function'").select(F.col("id").alias("target"), F.col("path").alias("p"))
-    bare = call.where("receiver is null").withColumn("k", F.monotonically_increasing_id())
+        rest = sent.join(direct.select("key"), "key", "left_anti").withColumn("from", F.when(above, F.col("cls")).otherwise(F.col("on")))
+        found = found.unionByName(rest.join(up.select(F.col("cls").alias("sub"), "base"), F.col("from") == F.col("sub")).join(method, (F.col("base") == F.col("c")) & (F.col("name") == F.col("n"))).select(*kept))
+    function = nodes.where("cls is null and kind <> 'class'").select(F.col("id").alias("target"), F.col("path").alias("p"))
+    through = call.where("rmodule is not null").join(function, F.col("name") == F.col("target")).where(F.concat(F.lit("/"), "p").endswith(F.concat(F.lit("/"), F.translate("rmodule", ".", "/"), F.lit(".py"))))
+    bare = call.where("receiver is null")
     hit = bare.join(function, F.col("name") == F.col("target"))
     local = hit.where("path = p")
-    far = hit.join(local.select("k"), "k", "left_anti").groupBy("k", "source", "target", "line", "loop", "cond").agg(F.countDistinct("p").alias("files")).where("files = 1")
-    return found.unionByName(named).unionByName(local.select("source", "target", "line", "loop", "cond")).unionByName(far.select("source", "target", "line", "loop", "cond")).where("source <> target")
+    far = hit.join(local.select("key"), "key", "left_anti").groupBy("key", *kept).agg(F.countDistinct("p").alias("files")).where("files = 1")
+    return found.unionByName(through.select(*kept)).unionByName(local.select(*kept)).unionByName(far.select(*kept)).where("source <> target")
 
 
 def django_routes(text: str) -> list[tuple[str, str]]:
@@ -169,6 +279,13 @@ def django_routes(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def attached(routes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(file, path, handler, id) of routes(file, path, handler) whose handler names one node(id); none or several: no row."""
+    named = nodes.select("id", F.substring_index("id", ".", -1).alias("handler")).distinct()
+    one = named.groupBy("handler").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").select("handler", "id")
+    return routes.join(one, "handler").select("file", "path", "handler", "id")
+
+
 def route_tables(files: DataFrame) -> DataFrame:
     """(file, path, handler) of route tables."""
 

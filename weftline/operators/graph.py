@@ -152,10 +152,15 @@ def bare_name(c: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(c, r"\(.*\)$", ""), r"([^.:/]+)$", 1)
 
 
-def precision_of(edges: DataFrame) -> DataFrame:
-    """(id, precision): what a node's outgoing links leave open."""
-    why = F.when(F.col("type") == "implements", "interface-dispatch").when(F.col("type") == "overrides", "overloads").when(F.col("type") == "http", "name-matched")
-    return edges.select(F.col("source").alias("id"), why.alias("p")).where("p is not null").groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("p")), ",").alias("precision"))
+def precision_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, precision): what a node's calls leave open: a call or request to a declaration may run any body of it, a
+    request is matched by its name, and nodes(ambiguous) lists overload sets that no call could choose from."""
+    bodies = nodes.where("declaration").select(F.col("id").alias("target"))
+    out = edges.where("type in ('calls', 'http')").select(F.col("source").alias("id"), "target", "type")
+    why = out.join(bodies, "target", "left_semi").select("id", F.lit("interface-dispatch").alias("p"))
+    why = why.unionAll(out.where("type = 'http'").select("id", F.lit("name-matched")))
+    why = why.unionAll(nodes.where(F.size(F.coalesce("ambiguous", F.array().cast("array<string>"))) > 0).select("id", F.lit("overloads")))
+    return why.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("p")), ",").alias("precision"))
 
 
 def merge_call_sites(sites: DataFrame) -> DataFrame:

@@ -32,18 +32,20 @@ def file_owner(commits: DataFrame) -> DataFrame:
     return file_authors(commits).groupBy("path").agg(F.min_by("author", F.struct(-F.col("commits"), F.col("author"))).alias("owner"))
 
 
-def churn_join(churn: DataFrame, nodes: DataFrame, segments: int = 2) -> DataFrame:
-    """(id, path, commits): churn of a path whose last segments are a node's file, if only one is."""
-    tail = lambda c: F.substring_index(c, "/", -segments)
-    n, c = nodes.select("id", "file", tail(F.col("file")).alias("k")), churn.select("path", "commits", tail(F.col("path")).alias("k"))
-    j = n.join(c, "k").where(F.col("path").endswith(F.col("file")) | F.col("file").endswith(F.col("path")))
-    return j.withColumn("hits", F.count("*").over(Window.partitionBy("id"))).where("hits = 1").select("id", "path", "commits")
+def churn_join(churn: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, path, commits): churn of the only path that is a node's file, or the trailing whole segments of it, or it of the path."""
+    f, p = nodes.select("file").distinct(), churn.select("path").distinct()
+    longer = suffixes(p, "path", "path").select("path", F.col("suffix").alias("file")).join(f, "file")
+    shorter = suffixes(f, "file", "file").select("file", F.col("suffix").alias("path")).join(p, "path")
+    hit = longer.select("file", "path").union(shorter.select("file", "path")).distinct()
+    only = hit.groupBy("file").agg(F.count("*").alias("hits"), F.min("path").alias("path")).where("hits = 1").select("file", "path")
+    return nodes.select("id", "file").join(only.join(churn.select("path", "commits"), "path"), "file").select("id", "path", "commits")
 
 
 def hotspots(churn: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, commits, fan_in, fan_out, risk) over all edges; risk above 0."""
     i, o = edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("fan_in")), edges.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("fan_out"))
-    r = nodes.select("id", "file").join(churn.select(F.col("path").alias("file"), "commits"), "file").join(i, "id", "left").join(o, "id", "left").fillna(0, ["fan_in", "fan_out"])
+    r = churn_join(churn, nodes).join(i, "id", "left").join(o, "id", "left").fillna(0, ["fan_in", "fan_out"])
     return r.select("id", "commits", "fan_in", "fan_out", (F.col("commits") * (1 + F.col("fan_in") + F.col("fan_out"))).alias("risk")).where("risk > 0")
 
 
@@ -57,12 +59,22 @@ def tests_join(nodes: DataFrame, tests: DataFrame) -> DataFrame:
 
 
 def manifest_diff(now: DataFrame, cached: DataFrame) -> DataFrame:
-    """(path, change) of manifests(path, sha): added, deleted, modified."""
-    n, c = now.select("path", F.col("sha").alias("n")), cached.select("path", F.col("sha").alias("c"))
-    change = F.when(F.col("c").isNull(), "added").when(F.col("n").isNull(), "deleted").when(~F.col("n").eqNullSafe(F.col("c")), "modified")
+    """(path, change) of manifests(path, sha): added, deleted, modified. A null sha is a value like others."""
+    n, c = now.select("path", F.struct("sha").alias("n")), cached.select("path", F.struct("sha").alias("c"))
+    change = F.when(F.col("c").isNull(), "added").when(F.col("n").isNull(), "deleted").when(~F.col("n.sha").eqNullSafe(F.col("c.sha")), "modified")
     return n.join(c, "path", "full").select("path", change.alias("change")).where("change is not null")
 
 
+def freshness(now: DataFrame, cached: DataFrame, grammars: DataFrame, cached_grammars: DataFrame, roots: DataFrame, cached_roots: DataFrame) -> DataFrame:
+    """(stale, reasons): changed files, grammars(name, version) that differ, and roots(root) of which none is where it was."""
+    changed = manifest_diff(now, cached).select(F.col("change").alias("reason"))
+    drift = manifest_diff(grammars.toDF("path", "sha"), cached_grammars.toDF("path", "sha")).select(F.lit("grammar drift").alias("reason"))
+    common = roots.join(cached_roots, "root", "left_semi").agg(F.count("*").alias("k"))
+    moved = common.crossJoin(cached_roots.agg(F.count("*").alias("n"))).where("k = 0 and n > 0").select(F.lit("source root moved").alias("reason"))  # one row each
+    every = changed.unionAll(drift).unionAll(moved)
+    return every.agg((F.count("*") > 0).alias("stale"), F.array_join(F.sort_array(F.collect_set("reason")), ",").alias("reasons"))
+
+
 def shared_ids(names: DataFrame) -> DataFrame:
     """(id, path, name): names(path, name) that several files hold, whatever their case, get the file's stem, and its path where stems meet too."""
     low = Window.partitionBy(F.lower("name"))

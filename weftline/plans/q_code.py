@@ -77,6 +77,52 @@ def route_tables(spark, sf):
     return P.route_tables(files)
 
 
+#: Overload sets of the nations' regions, and calls of customers with known and unknown types.
+OVERLOADS = "SELECT 'f' || CAST(n_regionkey AS STRING) || '(' || substr(n_name, 1, 1) || CASE WHEN n_nationkey % 2 = 0 THEN ',int' ELSE ',str' END || ')' AS id, 'f' || CAST(n_regionkey AS STRING) AS name, substr(n_name, 1, 1) || CASE WHEN n_nationkey % 2 = 0 THEN ',int' ELSE ',str' END AS params FROM {nation} UNION ALL SELECT 'f' || CAST(r_regionkey AS STRING) || '(int)', 'f' || CAST(r_regionkey AS STRING), 'int' FROM {region}"
+OVERCALLS = "SELECT c_custkey AS site, 'c' || CAST(c_custkey % 97 AS STRING) AS source, 'f' || CAST(c_nationkey % 5 AS STRING) AS name, CASE WHEN c_custkey % 7 = 0 THEN 'str' ELSE substr(c_mktsegment, 1, 1) || CASE c_custkey % 3 WHEN 0 THEN ',int' WHEN 1 THEN ',?' ELSE ',str' END END AS args FROM {customer}"
+SCORES = f"""o AS (SELECT id, name, string_split(params, ',') AS p FROM ({A.text(OVERLOADS)})), c AS (SELECT site, source, name, string_split(args, ',') AS a FROM ({A.text(OVERCALLS)})),
+s AS (SELECT site, source, c.name, id, len(list_filter(list_zip(a, p), lambda x: x[1] = x[2])) AS score FROM c JOIN o ON o.name = c.name AND len(a) = len(p)), t AS (SELECT *, max(score) OVER (PARTITION BY site) AS top FROM s)"""
+
+
+def overloads(spark, sf):
+    from weftline.operators import dispatch
+
+    c = A.frame(spark, sf, OVERCALLS).withColumn("args", F.transform(F.split("args", ","), lambda x: F.when(x != "?", x)))
+    return dispatch.pick_overload(c, A.frame(spark, sf, OVERLOADS).withColumn("params", F.split("params", ",")))
+
+
+@register("pick_overload", f"WITH {SCORES} SELECT site, any_value(source) AS source, any_value(id) AS target FROM t WHERE score = top GROUP BY site HAVING count(*) = 1")
+def pick_overload(spark, sf):
+    return overloads(spark, sf)[0]
+
+
+@register("ambiguous_overloads", f"WITH {SCORES} SELECT DISTINCT source, name FROM (SELECT site, any_value(source) AS source, any_value(name) AS name FROM t WHERE score = top GROUP BY site HAVING count(*) > 1)")
+def ambiguous_overloads(spark, sf):
+    return overloads(spark, sf)[1]
+
+
+#: Suppliers as beans of their nation, customers as places where a nation is injected.
+BEANS = "SELECT 'b' || CAST(s_suppkey AS STRING) AS bean, s_name AS cls, 'Nation' || CAST(s_nationkey AS STRING) AS type, s_suppkey % 5 = 0 AS \"primary\", s_suppkey % 31 = 0 AS conditional FROM {supplier} UNION ALL SELECT 'solo' || CAST(r_regionkey AS STRING), 'Solo' || CAST(r_regionkey AS STRING), 'Nation' || CAST(100 + r_regionkey AS STRING), FALSE, r_regionkey = 3 FROM {region}"
+INJECTED = "SELECT 'c' || CAST(c_custkey AS STRING) AS source, 'Nation' || CAST(CASE WHEN c_custkey % 4 = 0 THEN 100 + c_nationkey % 6 ELSE c_nationkey END AS STRING) AS type, CASE WHEN c_custkey % 3 = 0 THEN 'b' || CAST(c_custkey % 100 AS STRING) END AS qualifier FROM {customer}"
+
+
+@register("spring_beans", f"""WITH b AS ({A.text(BEANS)}), i AS ({A.text(INJECTED)}), g AS (SELECT type, count(*) AS n, count(*) FILTER ("primary") AS primaries, bool_or(conditional) AS is_open, min(cls) AS only_, min(cls) FILTER ("primary") AS first_ FROM b GROUP BY type)
+SELECT source, i.type, coalesce(CASE WHEN qualifier IS NOT NULL THEN (SELECT min(cls) FROM b WHERE b.type = i.type AND b.bean = i.qualifier) WHEN is_open THEN NULL WHEN n = 1 THEN only_ WHEN primaries = 1 THEN first_ END, i.type) AS target FROM i LEFT JOIN g ON g.type = i.type""")
+def spring_beans(spark, sf):
+    from weftline.operators import dispatch
+
+    return dispatch.spring_beans(A.frame(spark, sf, INJECTED), A.frame(spark, sf, BEANS.replace('"', "`")))
+
+
+@register("route_attached", "SELECT 'r0/urls.py' AS file, 'nations/' || CAST(n_nationkey AS STRING) || '/' AS path, 'show_' || CAST(n_nationkey AS STRING) AS handler, 'V.show_' || CAST(n_nationkey AS STRING) AS id FROM nation WHERE n_nationkey % 3 = 0")
+def route_attached(spark, sf):
+    n = A.table(spark, sf, "nation")
+    key = F.col("n_nationkey").cast("string")
+    routes = n.select(F.lit("r0/urls.py").alias("file"), F.concat(F.lit("nations/"), key, F.lit("/")).alias("path"), F.concat(F.lit("show_"), key).alias("handler"))
+    once = n.where("n_nationkey % 3 < 2").select(F.concat(F.lit("V.show_"), key).alias("id"))
+    return P.attached(routes, once.unionByName(n.where("n_nationkey % 3 = 1").select(F.concat(F.lit("W.show_"), key).alias("id"))))
+
+
 @register("context_pack")
 def context_pack(spark, sf):
     n, e = pair(spark, sf, A.STAR_NODES, A.STAR_EDGES)

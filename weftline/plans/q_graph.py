@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as X
 from weftline.operators import cycles, graph, paths
+from weftline.plans.q_text import FINDINGS
 from weftline.plans.registry import register
 from weftline.sources import adapters as A
 
@@ -16,7 +17,7 @@ SOURCE, SOURCE_N, TREE = A.text(A.SOURCE_EDGES), A.text(A.SOURCE_NODES), A.text(
 
 
 def pair(spark, sf, nodes, edges):
-    return A.frame(spark, sf, nodes), A.frame(spark, sf, edges)
+    return A.stored(spark, sf, nodes), A.stored(spark, sf, edges)
 
 
 def app(nodes: str, edges: str) -> str:
@@ -64,7 +65,7 @@ def dangling_edges(spark, sf):
 
 @register("adjacency", f"SELECT DISTINCT CASE WHEN type IN ('implements', 'extends', 'overrides') THEN target ELSE source END AS a, CASE WHEN type IN ('implements', 'extends', 'overrides') THEN source ELSE target END AS b FROM ({TREE})")
 def adjacency(spark, sf):
-    return graph.adjacency(A.frame(spark, sf, A.TREE_EDGES))
+    return graph.adjacency(A.stored(spark, sf, A.TREE_EDGES))
 
 
 @register("app_edges", f"WITH {app(LOOSE_N, STAR)} SELECT source, target, type FROM app")
@@ -156,9 +157,17 @@ def detect_patterns(spark, sf):
     return graph.detect_patterns(A.frame(spark, sf, NAMED))
 
 
-@register("precision_of", f"SELECT source AS id, 'interface-dispatch' AS precision FROM ({TREE}) WHERE type = 'implements' GROUP BY source")
+#: Brands are declarations, types hold overload sets, regions are reached by name.
+PRECISE_NODES = "SELECT DISTINCT 'brand:' || p_brand AS id, TRUE AS declaration, CAST(NULL AS STRING) AS ambiguous FROM {part} UNION ALL SELECT 'order:' || CAST(o_orderkey AS STRING), FALSE, CASE WHEN o_orderstatus = 'P' THEN 'Order.ship' END FROM {orders}"
+PRECISE_EDGES = f"SELECT * FROM ({A.TREE_EDGES}) AS t UNION ALL SELECT 'order:' || CAST(o_orderkey AS STRING), 'customer:' || CAST(o_custkey AS STRING), 'http' FROM {{orders}} WHERE o_orderstatus = 'O'"
+
+
+@register("precision_of", f"""WITH n AS ({A.text(PRECISE_NODES)}), e AS ({A.text(PRECISE_EDGES)}), w AS (
+ SELECT source AS id, 'interface-dispatch' AS p FROM e JOIN n ON n.id = target WHERE type IN ('calls', 'http') AND declaration UNION SELECT source, 'name-matched' FROM e WHERE type = 'http' UNION SELECT id, 'overloads' FROM n WHERE ambiguous IS NOT NULL)
+SELECT id, string_agg(p, ',' ORDER BY p) AS precision FROM w GROUP BY id""")
 def precision_of(spark, sf):
-    return graph.precision_of(A.frame(spark, sf, A.TREE_EDGES))
+    n = A.frame(spark, sf, PRECISE_NODES).withColumn("ambiguous", F.when(F.col("ambiguous").isNotNull(), F.array("ambiguous")))
+    return graph.precision_of(n, A.frame(spark, sf, PRECISE_EDGES))
 
 
 @register("census_edges", f"SELECT 'star' AS map, type, count(*) AS edges FROM ({STAR}) GROUP BY type UNION ALL SELECT 'tree', type, count(*) FROM ({TREE}) GROUP BY type")
@@ -201,18 +210,18 @@ SELECT id, min(dist) AS dist FROM r {'' if keep else 'WHERE dist > 0'} GROUP BY
 
 @register("impact_of", walk(STAR, "SELECT 'region:0' AS id", True, False))
 def impact_of(spark, sf):
-    adj = graph.adjacency(A.frame(spark, sf, A.STAR_EDGES))
+    adj = graph.adjacency(A.stored(spark, sf, A.STAR_EDGES))
     return paths.impact_of(adj, spark.sql("SELECT 'region:0' AS id"))
 
 
 @register("hop_distance", walk(STAR, "SELECT 'customer:1' AS id", False, True))
 def hop_distance(spark, sf):
-    return paths.reach(graph.adjacency(A.frame(spark, sf, A.STAR_EDGES)), spark.sql("SELECT 'customer:1' AS id"))
+    return paths.reach(graph.adjacency(A.stored(spark, sf, A.STAR_EDGES)), spark.sql("SELECT 'customer:1' AS id"))
 
 
 @register("neighbors_k", walk(STAR, "SELECT 'supplier:1' AS id", True, False, 2))
 def neighbors_k(spark, sf):
-    return paths.impact_of(graph.adjacency(A.frame(spark, sf, A.STAR_EDGES)), spark.sql("SELECT 'supplier:1' AS id"), 2)
+    return paths.impact_of(graph.adjacency(A.stored(spark, sf, A.STAR_EDGES)), spark.sql("SELECT 'supplier:1' AS id"), 2)
 
 
 CHANGED = f"SELECT id FROM ({A.STAR_NODES}) AS n WHERE file = 'customers/building.java' OR file = 'places/nations.py'"
@@ -220,7 +229,7 @@ CHANGED = f"SELECT id FROM ({A.STAR_NODES}) AS n WHERE file = 'customers/buildin
 
 @register("impact_of_diff", walk(STAR, A.text(CHANGED), True, False))
 def impact_of_diff(spark, sf):
-    return paths.impact_of(graph.adjacency(A.frame(spark, sf, A.STAR_EDGES)), A.frame(spark, sf, CHANGED))
+    return paths.impact_of(graph.adjacency(A.stored(spark, sf, A.STAR_EDGES)), A.frame(spark, sf, CHANGED))
 
 
 BLAST = "SELECT 'supplier:' || CAST(s_suppkey AS STRING) AS id FROM {supplier} WHERE s_acctbal < 0"
@@ -228,7 +237,7 @@ BLAST = "SELECT 'supplier:' || CAST(s_suppkey AS STRING) AS id FROM {supplier} W
 
 @register("blast_union", f"SELECT id FROM ({walk(STAR, A.text(BLAST), True, False)})")
 def blast_union(spark, sf):
-    return paths.impact_of(graph.adjacency(A.frame(spark, sf, A.STAR_EDGES)), A.frame(spark, sf, BLAST)).select("id")
+    return paths.impact_of(graph.adjacency(A.stored(spark, sf, A.STAR_EDGES)), A.frame(spark, sf, BLAST)).select("id")
 
 
 @register("scan_git_diff", f"SELECT DISTINCT file FROM ({A.text(A.STAR_NODES)}) WHERE id IN (SELECT id FROM ({A.text(CHANGED)}))")
@@ -244,7 +253,7 @@ def scan_git_diff(spark, sf):
 SELECT 'order:1', ['order:1'], 0 UNION ALL SELECT e.b, list_append(r.path, e.b), r.hop + 1 FROM r JOIN e ON e.a = r.id WHERE r.hop < 4 AND r.id <> 'region:0'),
 best AS (SELECT path FROM r WHERE id = 'region:0' ORDER BY hop, path LIMIT 1) SELECT CAST(i - 1 AS INT) AS hop, path[i] AS id FROM best, unnest(range(1, len(path) + 1)) AS s(i)""")
 def shortest_path(spark, sf):
-    adj = graph.adjacency(A.frame(spark, sf, A.STAR_EDGES))
+    adj = graph.adjacency(A.stored(spark, sf, A.STAR_EDGES))
     return paths.shortest_path(adj, "order:1", "region:0")
 
 
@@ -280,7 +289,7 @@ def find_cycles_session(spark, sf):
 @register("topo_rank", f"""WITH RECURSIVE e AS (SELECT DISTINCT source AS a, target AS b FROM ({STAR})), v AS (SELECT a AS id FROM e UNION SELECT b FROM e), r(id, d) AS (
 SELECT id, 0 FROM v WHERE id NOT IN (SELECT b FROM e) UNION SELECT e.b, r.d + 1 FROM r JOIN e ON e.a = r.id) SELECT id, max(d) AS rank FROM r GROUP BY id""")
 def topo_rank(spark, sf):
-    return paths.topo_rank(graph.adjacency(A.frame(spark, sf, A.STAR_EDGES)))
+    return paths.topo_rank(graph.adjacency(A.stored(spark, sf, A.STAR_EDGES)))
 
 
 HEALTH_SQL = f"""WITH RECURSIVE {app(SESSION_N, SESSION)}, {COUPLING}, g AS (SELECT DISTINCT source AS a, target AS b FROM app), r AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON g.a = r.b),
@@ -291,9 +300,9 @@ k AS (SELECT (SELECT count(DISTINCT least(id, scc)) FROM m) AS cycles,
  (SELECT count(*) FROM (SELECT DISTINCT source, target FROM app JOIN c AS s ON s.id = source JOIN c AS t ON t.id = target WHERE s.fan_in >= 5 AND s.instability < 0.3 AND t.instability > 0.7)) AS ww,
  (SELECT count(*) FROM (SELECT cls FROM n WHERE layer <> 'test' GROUP BY cls HAVING count(*) >= 12)) AS god,
  (SELECT 100.0 * count(*) FILTER (layer <> 'controller' AND id NOT IN (SELECT target FROM e)) / count(*) FROM n) AS dead,
- (SELECT count(*) FROM documents WHERE regexp_matches(text, '(password|secret|token|api_key) = "')) AS high),
+ (SELECT count(*) FILTER (severity = 'high') * 10 + count(*) FILTER (severity = 'medium') * 4 + count(*) FILTER (severity = 'low') FROM ({FINDINGS} SELECT severity FROM f)) AS security),
 d AS (SELECT least(24.0, 8 * cycles) AS d_cycles, least(16.0, 4 * lv) AS d_layers, least(12.0, 3 * hubs) AS d_coupling, least(8.0, 2 * ww) AS d_wrong_way, least(12.0, 3 * god) AS d_god,
- least(20.0, round_even(0.5 * dead, 0)) AS d_dead, least(30.0, 10 * high) AS d_security FROM k),
+ least(20.0, round_even(0.5 * dead, 0)) AS d_dead, least(30.0, security) AS d_security FROM k),
 f AS (SELECT *, greatest(0.0, 100 - (d_cycles + d_layers + d_coupling + d_wrong_way + d_god + d_dead + d_security)) AS s FROM d)
 SELECT CAST(d_cycles AS DOUBLE) AS d_cycles, CAST(d_layers AS DOUBLE) AS d_layers, CAST(d_coupling AS DOUBLE) AS d_coupling, CAST(d_wrong_way AS DOUBLE) AS d_wrong_way, CAST(d_god AS DOUBLE) AS d_god,
  CAST(d_dead AS DOUBLE) AS d_dead, CAST(d_security AS DOUBLE) AS d_security, CAST(s AS DOUBLE) AS score, CASE WHEN s >= 90 THEN 'A' WHEN s >= 80 THEN 'B' WHEN s >= 70 THEN 'C' WHEN s >= 60 THEN 'D' ELSE 'F' END AS grade FROM f"""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
-from weftline.operators import clones, review
+from weftline.operators import clones, find, review
 from weftline.plans.registry import register
 from weftline.sources import adapters as A
 from weftline.sources import readers
@@ -255,11 +255,12 @@ def unreferenced(spark, sf):
     return n.select("id").join(review.tests_join(n, idents(spark, sf)), "id", "left_anti")
 
 
-@register("tests_summary", f"SELECT (SELECT count(DISTINCT path) FROM ({IDENTS})) AS test_files, count(*) AS considered, count(*) FILTER (id IN (SELECT id FROM ({SEEN}))) AS referenced FROM ({A.text(NAMED)})")
+@register("tests_summary", f"SELECT test_files, considered, referenced, considered - referenced AS unreferenced, round(100.0 * referenced / considered, 1) AS referenced_pct FROM (SELECT (SELECT count(DISTINCT path) FROM ({IDENTS})) AS test_files, count(*) AS considered, count(*) FILTER (id IN (SELECT id FROM ({SEEN}))) AS referenced FROM ({A.text(NAMED)}))")
 def tests_summary(spark, sf):
     n, i = named(spark, sf), idents(spark, sf)
     hit = review.tests_join(n, i).select("id").distinct().withColumn("hit", F.lit(1))
-    return n.join(hit, "id", "left").agg(F.count("*").alias("considered"), F.count("hit").alias("referenced")).crossJoin(i.agg(F.countDistinct("path").alias("test_files")))
+    both = n.join(hit, "id", "left").agg(F.count("*").alias("considered"), F.count("hit").alias("referenced")).crossJoin(i.agg(F.countDistinct("path").alias("test_files")))  # one row each
+    return both.select("test_files", "considered", "referenced", (F.col("considered") - F.col("referenced")).alias("unreferenced"), F.round(100.0 * F.col("referenced") / F.col("considered"), 1).alias("referenced_pct"))
 
 
 NOW = f"SELECT path, substr(sha1(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g')), 1, 12) AS sha FROM ({FILES})"
@@ -294,9 +295,16 @@ for _kind in ("added", "deleted", "modified"):
     _change(_kind)
 
 
-@register("freshness", f"SELECT count(*) > 0 AS stale, coalesce(string_agg(DISTINCT change, ',' ORDER BY change), '') AS reasons FROM ({DIFF})")
+#: Grammars by language, one of another version by now; the root that was scanned has another name.
+GRAMMARS, OLD_GRAMMARS = "SELECT DISTINCT lang, 'v2' AS version FROM {documents}", "SELECT DISTINCT lang, CASE WHEN lang = 'en' THEN 'v1' ELSE 'v2' END AS version FROM {documents}"
+
+
+@register("freshness", f"""WITH r AS (SELECT change AS reason FROM ({DIFF}) UNION ALL SELECT 'grammar drift' FROM ({A.text(GRAMMARS)}) AS n JOIN ({A.text(OLD_GRAMMARS)}) AS o ON n.lang = o.lang AND n.version <> o.version
+ UNION ALL SELECT 'source root moved' WHERE NOT EXISTS (SELECT * FROM (SELECT DISTINCT source AS root FROM documents) JOIN (SELECT DISTINCT 'was/' || source AS root FROM documents) USING (root)))
+SELECT count(*) > 0 AS stale, coalesce(string_agg(DISTINCT reason, ',' ORDER BY reason), '') AS reasons FROM r""")
 def freshness(spark, sf):
-    return review.manifest_diff(*manifests(spark, sf)).agg((F.count("*") > 0).alias("stale"), F.array_join(F.sort_array(F.collect_set("change")), ",").alias("reasons"))
+    roots = A.table(spark, sf, "documents").select(F.col("source").alias("root")).distinct()
+    return review.freshness(*manifests(spark, sf), A.frame(spark, sf, GRAMMARS), A.frame(spark, sf, OLD_GRAMMARS), roots, roots.select(F.concat(F.lit("was/"), "root").alias("root")))
 
 
 NAMES_SQL = f"SELECT DISTINCT path, regexp_extract(text, '[A-Za-z_][A-Za-z0-9_]*', 0) AS name FROM ({FILES})"
@@ -326,14 +334,18 @@ def norm_path(spark, sf):
 
 
 HREFS = "SELECT DISTINCT 'page:' || CAST(page_id AS STRING) AS caller, 'GET' AS method, h AS url FROM pages, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS r(h)"
-CALLS = f"SELECT DISTINCT caller || ' ' || url AS caller, method, {norm('url')} AS path FROM ({HREFS}) WHERE {norm('url')} IS NOT NULL"
+#: Calls that meet routes: the pages' own links meet none.
+PROBED = "SELECT 'probe:' || CAST(page_id AS STRING) AS caller, 'GET' AS method, url FROM pages WHERE page_id % 3 = 0"
+CALLS = f"SELECT DISTINCT caller || ' ' || url AS caller, method, {norm('url')} AS path FROM ({HREFS} UNION ALL {PROBED}) WHERE {norm('url')} IS NOT NULL"
 ROUTES = f"SELECT DISTINCT 'page:' || CAST(page_id AS STRING) AS handler, 'GET' AS method, {norm('url')} AS path FROM pages WHERE {norm('url')} IS NOT NULL UNION ALL SELECT DISTINCT 'title:' || w, 'GET', w FROM (SELECT regexp_extract(url, '//([a-z]+)', 1) AS w FROM pages) WHERE w <> ''"
 LONG = f"SELECT caller, method, 'v1/' || path AS path FROM ({CALLS})"
 
 
 def hrefs(spark, sf):
     h = F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("url")
-    c = A.table(spark, sf, "pages").select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("p"), h)
+    pages = A.table(spark, sf, "pages")
+    c = pages.select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("p"), h)
+    c = c.unionByName(pages.where("page_id % 3 = 0").select(F.concat(F.lit("probe:"), F.col("page_id").cast("string")).alias("p"), "url"))
     return c.select(F.concat("p", F.lit(" "), "url").alias("caller"), F.lit("GET").alias("method"), X.norm_path(F.col("url")).alias("path")).where("path is not null").distinct()
 
 
@@ -371,7 +383,7 @@ def compose_route(spark, sf):
     return A.table(spark, sf, "pages").select("page_id", X.norm_path(F.concat(F.lit("api/"), F.regexp_replace("url", "^[a-z]+://[^/]*", ""))).alias("path"))
 
 
-LAYERS = [("PnoDataReportMail", "", ""), ("StoredFileDto", "", ""), ("EventStore", "", ""), ("order_repository", "", ""), ("UserDao", "", ""), ("OrderHandler", "Service", ""), ("PnoDataJob", "", "api/service/pnodata/PnoDataJob.java"), ("BatchTuning", "", "api/properties/BatchTuning.java"), ("Tools", "", "api/common/Tools.java"), ("Helpers", "", "api/util/Helpers.java")]
+LAYERS = [("ParcelDigest", "", ""), ("CrateLabelDto", "", ""), ("TideStore", "", ""), ("berth_repository", "", ""), ("HarbourDao", "", ""), ("QuayHandler", "Service", ""), ("NightSweep", "", "harbour/service/night/NightSweep.java"), ("BerthLimits", "", "harbour/properties/BerthLimits.java"), ("Winch", "", "harbour/common/Winch.java"), ("Ropes", "", "harbour/util/Ropes.java"), ("Repositioning", "", "")]
 
 
 def _word(w: str) -> str:
@@ -414,24 +426,26 @@ def json(spark, sf):
 STAR_N, STAR = A.text(A.STAR_NODES), A.text(A.STAR_EDGES)
 
 
-def search(name: str, where: str, call):
-    """A filter over nodes; call takes (nodes, edges)."""
+def search(query: str, where: str, limit: int | None = None, **filters):
+    """A registered search; limit by id."""
+    cut = f" ORDER BY id LIMIT {limit}" if limit else ""
 
-    @register(name, f"SELECT id FROM ({STAR_N}) AS n WHERE {where}")
+    @register(query, f"SELECT id FROM (SELECT id FROM ({STAR_N}) AS n WHERE {where}{cut})")
     def run(spark, sf):
-        return call(A.frame(spark, sf, A.STAR_NODES), A.frame(spark, sf, A.STAR_EDGES)).select("id")
+        return find.search(A.stored(spark, sf, A.STAR_NODES), A.stored(spark, sf, A.STAR_EDGES), limit=limit, **filters).select("id")
 
 
-search("search_name", m("id", "(?i)SUPPLIER|region"), lambda n, e: n.where(F.col("id").rlike("(?i)SUPPLIER|region")))
-search("search_doc", m("doc", "(?i)urgent"), lambda n, e: n.where(F.col("doc").rlike("(?i)urgent")))
-search("search_layer", "layer = 'repository'", lambda n, e: n.where("layer = 'repository'"))
-search("search_kind", "kind = 'function'", lambda n, e: n.where("kind = 'function'"))
-search("search_file", "contains(file, '.java')", lambda n, e: n.where(F.col("file").contains(".java")))
-search("search_lang", "lang = 'go'", lambda n, e: n.where("lang = 'go'"))
-search("search_calls", f"id IN (SELECT source FROM ({STAR}) WHERE target = 'nation:3')", lambda n, e: n.join(e.where("target = 'nation:3'"), n["id"] == e["source"], "left_semi"))
-search("search_called_by", f"id IN (SELECT target FROM ({STAR}) WHERE source = 'order:1')", lambda n, e: n.join(e.where("source = 'order:1'"), n["id"] == e["target"], "left_semi"))
-search("search_orphans", f"id NOT IN (SELECT target FROM ({STAR}))", lambda n, e: n.join(e, n["id"] == e["target"], "left_anti"))
-search("search_limit", f"id IN (SELECT id FROM ({STAR_N}) WHERE layer = 'service' ORDER BY id LIMIT 50)", lambda n, e: n.where("layer = 'service'").orderBy("id").limit(50))
+search("search_name", m("id", "(?i)SUPPLIER|region"), name="SUPPLIER|region")
+search("search_doc", m("doc", "(?i)urgent"), doc="urgent")
+search("search_layer", "layer = 'repository'", layer="repository")
+search("search_kind", "kind = 'function'", kind="function")
+search("search_file", "contains(file, '.java')", file=".java")
+search("search_lang", "lang = 'go'", lang="go")
+search("search_calls", f"id IN (SELECT source FROM ({STAR}) WHERE target = 'nation:3')", calls="nation:3")
+search("search_called_by", f"id IN (SELECT target FROM ({STAR}) WHERE source = 'order:1')", called_by="order:1")
+search("search_orphans", f"id NOT IN (SELECT target FROM ({STAR}))", orphans=True)
+search("search_limit", "layer = 'service'", limit=find.LIMIT, layer="service")
+search("search_all", f"layer = 'service' AND lang = 'java' AND contains(file, 'building') AND {m('id', '(?i)customer:1')} AND id IN (SELECT source FROM ({STAR}) WHERE target = 'nation:3')", limit=find.LIMIT, layer="service", lang="java", file="building", name="customer:1", calls="nation:3")
 
 
 # --- clones --------------------------------------------------------------------------------
@@ -443,11 +457,19 @@ BODY = f"SELECT path, count(*) AS n, substr(sha1(string_agg(tok, ' ' ORDER BY po
 CLUSTERS = f"SELECT hash, count(*) AS nodes, min(n) AS tokens FROM ({BODY}) GROUP BY hash HAVING count(*) >= 2"
 GRAMS = f"SELECT path, pos, ('0x' || substr(md5(array_to_string(run, ' ')), 1, 15))::BIGINT AS h FROM (SELECT path, pos, list(tok) OVER (PARTITION BY path ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS run FROM ({TOKS})) WHERE len(run) = 10"
 PRINTS = f"SELECT DISTINCT path, b.p AS pos, -b.m AS h FROM (SELECT path, max({{'m': -h, 'p': pos}}) OVER w AS b, count(*) OVER w AS n FROM ({GRAMS}) WINDOW w AS (PARTITION BY path ORDER BY pos ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)) WHERE n = 21"
-PAIRS = f"WITH p AS MATERIALIZED ({PRINTS}), b AS MATERIALIZED ({BODY}), hot AS (SELECT h FROM p GROUP BY h HAVING count(*) BETWEEN 2 AND 50), f AS (SELECT p.*, b.hash FROM p SEMI JOIN hot USING (h) LEFT JOIN b ON b.path = p.path) SELECT x.path AS a, y.path AS b, x.h, x.pos AS pa, y.pos AS pb FROM f AS x JOIN f AS y ON x.h = y.h AND x.path < y.path WHERE x.hash IS NULL OR x.hash IS DISTINCT FROM y.hash"
+PAIRS = f"WITH p AS MATERIALIZED ({PRINTS}), b AS MATERIALIZED ({BODY}), hot AS (SELECT h FROM p GROUP BY h HAVING count(*) BETWEEN 2 AND 50), f AS (SELECT p.*, b.hash FROM p SEMI JOIN hot USING (h) LEFT JOIN b ON b.path = p.path) SELECT x.path AS a, y.path AS b, x.h, x.pos AS pa, y.pos AS pb FROM f AS x JOIN f AS y ON x.h = y.h AND (x.path < y.path OR (x.path = y.path AND y.pos - x.pos >= 30)) WHERE x.path = y.path OR x.hash IS NULL OR x.hash IS DISTINCT FROM y.hash"
 
 
 def toks(spark, sf):
-    return clones.tokens(lines(spark, sf))
+    return A.kept(spark, sf, "tokens", lambda: clones.tokens(lines(spark, sf)))
+
+
+def grams(spark, sf):
+    return A.kept(spark, sf, "grams", lambda: clones.kgrams(toks(spark, sf)))
+
+
+def prints(spark, sf):
+    return A.kept(spark, sf, "prints", lambda: clones.winnow(grams(spark, sf)))
 
 
 @register("token_shape", f"SELECT path, CAST(pos AS INT) AS pos, line_no, tok FROM ({TOKS})")
@@ -473,30 +495,38 @@ def clone_summary(spark, sf):
 
 @register("kgrams", f"SELECT path, CAST(pos AS INT) AS pos, h FROM ({GRAMS})")
 def kgrams(spark, sf):
-    return clones.kgrams(toks(spark, sf))
+    return grams(spark, sf)
 
 
 @register("winnow_min", f"SELECT path, CAST(pos AS INT) AS pos, h FROM ({PRINTS})")
 def winnow_min(spark, sf):
-    return clones.winnow(clones.kgrams(toks(spark, sf)))
+    return prints(spark, sf)
 
 
 @register("fingerprints", f"SELECT h, count(*) AS places, count(DISTINCT path) AS files FROM ({PRINTS}) GROUP BY h HAVING count(*) BETWEEN 2 AND 50")
 def fingerprints(spark, sf):
-    return clones.winnow(clones.kgrams(toks(spark, sf))).groupBy("h").agg(F.count("*").alias("places"), F.countDistinct("path").alias("files")).where("places between 2 and 50")
+    return prints(spark, sf).groupBy("h").agg(F.count("*").alias("places"), F.countDistinct("path").alias("files")).where("places between 2 and 50")
 
 
 @register("clone_pair", f"SELECT DISTINCT a, b FROM ({PAIRS})")
 def clone_pair(spark, sf):
-    t = toks(spark, sf)
-    return clones.pairs(clones.winnow(clones.kgrams(t)), clones.bodies(t)).select("a", "b").distinct()
+    return clones.pairs(prints(spark, sf), clones.bodies(toks(spark, sf))).select("a", "b").distinct()
+
+
+BLOCKS = f"""WITH t AS MATERIALIZED ({TOKS}), g AS MATERIALIZED ({GRAMS}), seed AS MATERIALIZED (SELECT DISTINCT a, b, pa - pb AS d FROM ({PAIRS})),
+same AS (SELECT a, b, d, x.pos AS pa FROM seed JOIN g AS x ON x.path = a JOIN g AS y ON y.path = b AND y.pos = x.pos - d AND y.h = x.h),
+isle AS (SELECT *, pa - row_number() OVER (PARTITION BY a, b, d ORDER BY pa) AS i FROM same),
+run AS (SELECT a, b, d, min(pa) AS s, CASE WHEN a = b THEN least(max(pa) + 9, min(pa) - d - 1) ELSE max(pa) + 9 END AS e FROM isle GROUP BY a, b, d, i),
+both_ AS (SELECT a AS path, s, e FROM run UNION SELECT b, s - d, e - d FROM run),
+line AS (SELECT path, line_no, min(pos) AS lo, max(pos) AS hi FROM t GROUP BY path, line_no),
+whole AS (SELECT DISTINCT path, first_line, last_line, lo, hi FROM (SELECT path, s, e, min(line_no) AS first_line, max(line_no) AS last_line, min(lo) AS lo, max(hi) AS hi FROM both_ JOIN line USING (path) WHERE lo >= s AND hi <= e GROUP BY path, s, e) WHERE hi - lo + 1 >= 30)
+SELECT substr(sha1(string_agg(tok, ' ' ORDER BY pos)), 1, 12) AS shape, w.path, first_line, last_line FROM whole AS w JOIN t ON t.path = w.path AND t.pos BETWEEN lo AND hi GROUP BY w.path, first_line, last_line"""
 
 
-@register("clone_blocks")
+@register("clone_blocks", BLOCKS)
 def clone_blocks(spark, sf):
     t = toks(spark, sf)
-    g = clones.kgrams(t)
-    return clones.blocks(t, g, clones.pairs(clones.winnow(g), clones.bodies(t)))
+    return clones.blocks(t, grams(spark, sf), clones.pairs(prints(spark, sf), clones.bodies(t)))
 
 
 # --- links, sets, outputs --------------------------------------------------------------------
@@ -539,10 +569,17 @@ def unresolved_vs_ext(spark, sf):
     return idents(spark, sf).join(n, "ident", "left_semi").select("path", "ident")
 
 
-@register("unmeasured_ids", f"SELECT id FROM ({STAR_N}) WHERE file NOT IN (SELECT path FROM ({FILES}))")
+#: Nodes of the files, some without a body: declarations, and nodes whose file is gone.
+BODIES = f"SELECT path || '#' || lang AS id, path AS file, lang = 'go' AS declaration FROM ({FILES}) UNION ALL SELECT 'gone:' || CAST(r_regionkey AS STRING), 'gone.py', FALSE FROM region"
+
+
+@register("unmeasured_ids", f"SELECT id FROM ({BODIES}) WHERE declaration OR file NOT IN (SELECT path FROM ({FILES}))")
 def unmeasured_ids(spark, sf):
-    f = A.files(spark, sf).select(F.col("path").alias("file"))
-    return A.frame(spark, sf, A.STAR_NODES).join(f, "file", "left_anti").select("id")
+    f = A.files(spark, sf)
+    gone = A.table(spark, sf, "region").select(F.concat(F.lit("gone:"), F.col("r_regionkey").cast("string")).alias("id"), F.lit("gone.py").alias("file"), F.lit(False).alias("declaration"))
+    n = f.select(F.concat("path", F.lit("#"), "lang").alias("id"), F.col("path").alias("file"), (F.col("lang") == "go").alias("declaration")).unionByName(gone)
+    measured = n.where("not declaration").join(f.select(F.col("path").alias("file")), "file", "left_semi").select("id")
+    return n.select("id").join(measured, "id", "left_anti")
 
 
 @register("descriptions", "SELECT doc_id, coalesce(nullif(substr(text, 1, strpos(text, chr(10)) - 1), ''), 'doc ' || CAST(doc_id AS STRING)) AS description FROM documents WHERE strpos(text, chr(10)) > 0 UNION ALL SELECT doc_id, coalesce('label ' || CAST(l.quality AS STRING), 'doc ' || CAST(doc_id AS STRING)) FROM documents LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) AS l USING (doc_id) WHERE strpos(text, chr(10)) = 0 OR text IS NULL")
