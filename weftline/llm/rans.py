@@ -47,6 +47,7 @@ HEAD = struct.Struct("<4sIIIIIII")
 BITS = 20
 BLOCK, LANES, STEPS = 1 << 18, 512, 256
 MOST_SHARDS = 100_000
+TASK_BLOCKS = 32  # read by a task, one after another: about as many ids as a file holds
 MANIFEST = pa.schema([("place", pa.int64()), ("uri", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("n_ids", pa.int64()), ("n_done", pa.int64())])
 
 
@@ -294,7 +295,7 @@ def read(spark: SparkSession, blocks: DataFrame, where: str, most_tasks: int = 5
     n = blocks.count()
     if not n:
         return spark.createDataFrame([], "ordinal long, doc_id long, start long, n_tokens long, ids_crc32 long")
-    table = blocks.select("uri", "at", "size", "start", "ordinal").repartition(min(most_tasks, -(-n // 8)))
+    table = blocks.select("uri", "at", "size", "start", "ordinal").repartition(min(most_tasks, -(-n // TASK_BLOCKS)))
 
     def run(batches):
         t = _tables(f"{where}/tables")

@@ -83,6 +83,9 @@ class Encoder:
         self.most = most
         if self.fast:
             self.unsplit = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.bytes_of = np.zeros(self.size, np.int64)
+            for token, k in self.whole.get_vocab().items():
+                self.bytes_of[k] = len(token)  # a character stands for a byte
             self._clear()
 
     def _clear(self) -> None:
@@ -94,9 +97,9 @@ class Encoder:
         ids, many = [self.flat], []
         self.whole.pre_tokenizer = self.unsplit
         for a in range(0, len(texts), 4000):
-            e = self.whole.encode(texts[a : a + 4000], is_pretokenized=True, add_special_tokens=False)
-            ids.append(np.array(e.ids, self.dtype))
-            many.append(np.bincount(np.array(e.word_ids, np.int64), minlength=min(4000, len(texts) - a)))
+            own, count = self._ask(texts[a : a + 4000])
+            ids.append(own)
+            many.append(count)
         self.whole.pre_tokenizer = self.usual
         many = np.concatenate(many)
         at = len(self.flat) + np.cumsum(many) - many
@@ -107,6 +110,23 @@ class Encoder:
         self.at = np.insert(self.at, to, at[order])
         self.many = np.insert(self.many, to, many[order])
 
+    def _ask(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces one after another, and how many each has: told by the bytes that ids stand for."""
+        ids = np.array(self.whole.encode_batch_fast([texts], is_pretokenized=True, add_special_tokens=False)[0].ids, self.dtype)
+        ends, reached = np.cumsum([len(t.encode()) for t in texts]), np.cumsum(self.bytes_of[ids])
+        last = np.searchsorted(reached, ends)
+        if len(ids) and last[-1] == len(ids) - 1 and np.array_equal(reached[last], ends):
+            return ids, np.diff(last, prepend=-1)
+        e = self.whole.encode(texts, is_pretokenized=True, add_special_tokens=False)  # an id stands for other bytes than its own
+        return np.array(e.ids, self.dtype), np.bincount(np.array(e.word_ids, np.int64), minlength=len(texts))
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Where keys are or belong in the table; in ascending order, so that the search stays within the cache."""
+        order = np.argsort(keys)
+        slot = np.empty(len(keys), np.int64)
+        slot[order] = np.searchsorted(self.keys, keys[order])
+        return slot
+
     def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in data one after another, and the offsets of each text's ids; -1 marks texts that are not known."""
         chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
@@ -126,9 +146,12 @@ class Encoder:
         code, distinct = pd.factorize(h)
         first = np.empty(len(distinct), np.int64)
         first[code[::-1]] = np.arange(len(h))[::-1]
-        bad = np.concatenate([[0], np.cumsum(kind == 255)])
-        sound = bad[e[first]] == bad[s[first]]
-        slot = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
+        odd, sound = np.zeros(0, np.int64), np.ones(len(distinct), bool)
+        if (kind == 255).any():
+            bad = np.concatenate([[0], np.cumsum(kind == 255)])
+            sound = bad[e[first]] == bad[s[first]]
+            odd = np.flatnonzero(bad[chars[1:]] != bad[chars[:-1]])
+        slot = np.minimum(self._find(distinct), max(0, len(self.keys) - 1))
         new = sound & (self.keys[slot] != distinct if len(self.keys) else np.ones(len(distinct), bool))
         if new.any():
             size = len(self.keys)
@@ -136,13 +159,12 @@ class Encoder:
             if len(self.keys) < size + new.sum():  # the table was emptied
                 sound_known = sound & ~new
                 self._learn(distinct[sound_known], [text[x:y] for x, y in zip(s[first[sound_known]].tolist(), e[first[sound_known]].tolist(), strict=True)])
-            slot = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
+            slot = np.minimum(self._find(distinct), len(self.keys) - 1)
         many = np.where(sound, self.many[slot] if len(self.many) else 0, 0)[code].astype(np.int64)
         at = (self.at[slot] if len(self.at) else np.zeros(len(distinct), np.int64))[code]
         ends = np.concatenate([[0], np.cumsum(many)])
         ids = self.flat[np.repeat(at - ends[:-1], many) + np.arange(ends[-1])] if len(code) else np.zeros(0, self.dtype)
         out = ends[np.searchsorted(s, chars)]
-        odd = np.flatnonzero(bad[chars[1:]] != bad[chars[:-1]])
         return ids, out, odd
 
     def encode(self, column: pa.Array, end_id: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
