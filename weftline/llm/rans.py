@@ -28,6 +28,7 @@ read, whatever others are called. An empty table gives no files and an empty res
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections import deque
@@ -165,6 +166,7 @@ def token_table(docs: DataFrame, definition: str, end_id: int | None = 0, id_col
     shared = docs.sparkSession.sparkContext.broadcast(definition)  # the tokenizer's file, whatever the input
 
     def run(batches):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; idle threads of the library would spin on others
         encoder = _encoder(shared.value)
         size = np.dtype(encoder.dtype).itemsize
         for batch in batches:
