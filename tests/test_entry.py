@@ -20,7 +20,7 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["coupling", "find_layer_violations", "call_site_merge", "find_cycles", "impact_of_diff", "owner_of", "clone_pair", "route_suffix", "shared_ids", "resolve_calls", "health"])
+@pytest.mark.parametrize("name", ["coupling", "find_layer_violations", "call_site_merge", "find_cycles", "impact_of_diff", "owner_of", "clone_pair", "route_suffix", "shared_ids", "resolve_calls", "health", "report", "sec_summary", "debt_summary", "clone_summary", "clone_clusters", "body_hash"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for p in glob.glob(f"{SF}/*.parquet"):

@@ -3,6 +3,7 @@
 from weftline.extract import python as P
 from weftline.functions import text as X
 from weftline.operators import clones, dispatch, find, review
+from weftline.sources import readers
 
 BODY = ["    whole = 0", "    for {0} in {0}s:", "        if {0}.kind == 'dry' and {0}.weight > 10:", "            whole = whole + {0}.weight * {0}.price - {0}.toll", "    return round(whole, 2) + len({0}s) * 0"]
 
@@ -24,6 +25,14 @@ def test_a_block_copied_within_one_file(spark):
     assert {(3, 7), (13, 17), (33, 37)} in by_shape.values()
 
 
+def test_roots_are_walked(spark, tmp_path):
+    for name, text in (("a/x.py", "import os\n"), ("a/b/y.ts", "let é = 1\n"), ("a/.next/z.js", "no\n"), ("a/readme", "no\n")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = readers.walk(spark, str(tmp_path)).collect()
+    assert sorted((r["path"].rsplit("/", 1)[1], r["lang"], r["text"]) for r in got) == [("x.py", "py", "import os\n"), ("y.ts", "js", "let é = 1\n")]
+
+
 WIDGETS = '''
 from fast import router
 from shop.stock import Shelf as Store, count as total

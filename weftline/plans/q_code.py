@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.extract import python as P
 from weftline.operators import cycles, graph, pack
+from weftline.plans import q_text as T
 from weftline.plans.q_graph import COUPLING, RANK, SESSION, SESSION_N, STAR, STAR_N, app, pair, star_coupling
 from weftline.plans.registry import register
 from weftline.sources import adapters as A
@@ -130,7 +131,7 @@ def context_pack(spark, sf):
     return spark.createDataFrame([("nation:3", text, len(text))], "id string, text string, chars int")
 
 
-GRADED = [("cycles", True), ("layer violations", True), ("god objects", True), ("orphans", True), ("shared helpers", False), ("coordinators", False)]
+GRADED = [("cycles", True), ("layer violations", True), ("god objects", True), ("orphans", True), ("shared helpers", False), ("coordinators", False), ("security", True), ("history", False), ("measures", False), ("debt", False), ("untested", False), ("copies", False)]
 REPORT = f"""WITH RECURSIVE {app(SESSION_N, SESSION)}, {COUPLING}, g AS (SELECT DISTINCT source AS a, target AS b FROM app), r AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON g.a = r.b),
 mm AS (SELECT x.a AS id, min(x.b) AS scc FROM r AS x JOIN r AS y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
 SELECT 'cycles' AS section, TRUE AS graded, count(DISTINCT least(id, scc)) AS n FROM mm
@@ -138,7 +139,13 @@ UNION ALL SELECT 'layer violations', TRUE, count(*) FROM (SELECT DISTINCT source
 UNION ALL SELECT 'god objects', TRUE, count(*) FROM (SELECT cls FROM n GROUP BY cls HAVING count(*) >= 12)
 UNION ALL SELECT 'orphans', TRUE, count(*) FROM n WHERE layer <> 'controller' AND id NOT IN (SELECT target FROM e)
 UNION ALL SELECT 'shared helpers', FALSE, count(*) FROM c WHERE fan_in >= 10 AND instability <= 0.1
-UNION ALL SELECT 'coordinators', FALSE, count(*) FROM c WHERE fan_out >= 10 AND fan_in <= 2"""
+UNION ALL SELECT 'coordinators', FALSE, count(*) FROM c WHERE fan_out >= 10 AND fan_in <= 2
+UNION ALL SELECT 'security', TRUE, count(*) FROM ({T.FINDINGS} SELECT * FROM f)
+UNION ALL SELECT 'history', FALSE, count(DISTINCT path) FROM ({T.COMMITS})
+UNION ALL SELECT 'measures', FALSE, count(*) FROM ({T.METRICS})
+UNION ALL SELECT 'debt', FALSE, count(*) FROM ({T.DEBT})
+UNION ALL SELECT 'untested', FALSE, count(*) FROM ({A.text(T.NAMED)}) WHERE id NOT IN (SELECT id FROM ({T.SEEN}))
+UNION ALL SELECT 'copies', FALSE, count(*) FROM ({T.CLUSTERS})"""
 
 
 def sections(spark, sf):
@@ -146,6 +153,7 @@ def sections(spark, sf):
     a = graph.app_edges(n, e)
     c = graph.coupling(n, a)
     found = [cycles.find_cycles(a), graph.layer_violations(n, a), graph.god_objects(n, e), graph.dead_nodes(n, e), graph.shared_helpers(c), graph.coordinators(c)]
+    found += [T.findings(spark, sf), A.frame(spark, sf, A.COMMITS).select("path").distinct(), T.line_metrics(spark, sf), T.debt_markers(spark, sf), T.unreferenced(spark, sf), T.clone_clusters(spark, sf)]
     rows = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("section"), F.lit(graded).alias("graded"), "n") for (name, graded), df in zip(GRADED, found, strict=True)]
     out = rows[0]
     for r in rows[1:]:
@@ -162,7 +170,7 @@ def report(spark, sf):
 def graded_first(spark, sf):
     from pyspark.sql import Window
 
-    return sections(spark, sf).select("section", F.row_number().over(Window.orderBy(F.desc("graded"), "section")).cast("long").alias("place"))  # six rows
+    return sections(spark, sf).select("section", F.row_number().over(Window.orderBy(F.desc("graded"), "section")).cast("long").alias("place"))  # a row a section
 
 
 @register("brief", f"WITH {app(STAR_N, STAR)}, {COUPLING} SELECT id, degree FROM c ORDER BY degree DESC, id LIMIT 5")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as X
 from weftline.operators import cycles, graph, paths
-from weftline.plans.q_text import FINDINGS
+from weftline.plans.q_text import DEBT, FINDINGS
 from weftline.plans.registry import register
 from weftline.sources import adapters as A
 
@@ -133,13 +133,23 @@ def find_orphans(spark, sf):
     return graph.dead_nodes(*pair(spark, sf, A.LOOSE_NODES, A.STAR_EDGES)).select("id", "kind", "layer", "file")
 
 
-@register("dead_files", f"WITH dead AS ({DEAD}), n AS ({LOOSE_N} UNION ALL SELECT 'probe:' || CAST(r_regionkey AS STRING), 'function', 'function', 'py', 'probe/dead.py', 1, 2, NULL, NULL, NULL FROM region), d AS (SELECT id FROM dead UNION ALL SELECT id FROM n WHERE file = 'probe/dead.py') SELECT file, count(*) AS nodes FROM n GROUP BY file HAVING bool_and(id IN (SELECT id FROM d))")
+DEAD_FILES = f"WITH dead AS ({DEAD}), n AS ({LOOSE_N} UNION ALL SELECT 'probe:' || CAST(r_regionkey AS STRING), 'function', 'function', 'py', 'probe/dead.py', 1, 2, NULL, NULL, NULL FROM region), d AS (SELECT id FROM dead UNION ALL SELECT id FROM n WHERE file = 'probe/dead.py') SELECT file, count(*) AS nodes FROM n GROUP BY file HAVING bool_and(id IN (SELECT id FROM d))"
+
+
+@register("dead_files", DEAD_FILES)
 def dead_files(spark, sf):
     n, e = pair(spark, sf, A.LOOSE_NODES, A.STAR_EDGES)
     n = n.unionByName(A.frame(spark, sf, "SELECT 'probe:' || CAST(r_regionkey AS STRING) AS id, 'function' AS kind, 'function' AS layer, 'py' AS lang, 'probe/dead.py' AS file, 1 AS start_line, 2 AS end_line FROM {region}"), allowMissingColumns=True)
     return graph.dead_files(n, graph.dead_nodes(n, e))
 
 
+@register("debt_summary", f"SELECT tag, markers, dead_nodes, dead_files FROM (SELECT tag, count(*) AS markers FROM ({DEBT}) GROUP BY ROLLUP (tag)), (SELECT count(*) AS dead_nodes FROM ({DEAD})), (SELECT count(*) AS dead_files FROM ({DEAD_FILES}))")
+def debt_summary(spark, sf):
+    marked = X.debt_markers(X.lines(A.files(spark, sf))).rollup("tag").agg(F.count("*").alias("markers"))
+    dead = find_orphans(spark, sf).agg(F.count("*").alias("dead_nodes"))
+    return marked.crossJoin(dead).crossJoin(dead_files(spark, sf).agg(F.count("*").alias("dead_files")))  # one row each
+
+
 OVER = "SELECT 'part:' || CAST(p_partkey AS STRING) AS source, 'brand:' || p_brand AS target FROM {part} WHERE p_size <= 49"
 SUBS = "SELECT 'part:' || CAST(p_partkey AS STRING) AS sub, 'brand:' || p_brand AS base, p_size FROM {part}"
 

@@ -192,9 +192,14 @@ for _name, _rule in {"sec_aws": "aws_key", "sec_pem": "private_key", "sec_sql_in
     _one(_name, _rule)
 
 
-@register("sec_summary", FINDINGS + "SELECT severity, rule, count(*) AS n FROM f GROUP BY GROUPING SETS ((severity), (rule), ())")
+READ = f"NOT {m('path', X.QUIET_PATH)} AND NOT {m('path', X.TEST_PATH)}"
+
+
+@register("sec_summary", FINDINGS + f"SELECT severity, rule, n, files_scanned, files_skipped FROM (SELECT severity, rule, count(*) AS n FROM f GROUP BY GROUPING SETS ((severity), (rule), ())), (SELECT count(*) FILTER ({READ}) AS files_scanned, count(*) FILTER (NOT ({READ})) AS files_skipped FROM ({FILES}))")
 def sec_summary(spark, sf):
-    return findings(spark, sf).groupingSets([["severity"], ["rule"], []], "severity", "rule").agg(F.count("*").alias("n")).select("severity", "rule", "n")
+    n = findings(spark, sf).groupingSets([["severity"], ["rule"], []], "severity", "rule").agg(F.count("*").alias("n")).select("severity", "rule", "n")
+    skipped = F.col("path").rlike(X.QUIET_PATH) | F.col("path").rlike(X.TEST_PATH)
+    return n.crossJoin(A.files(spark, sf).agg(F.count_if(~skipped).alias("files_scanned"), F.count_if(skipped).alias("files_skipped")))  # one row
 
 
 #: Nodes of a file: the whole of it without a range, its first lines, and the second line within them.
@@ -220,11 +225,6 @@ def debt_markers(spark, sf):
     return X.debt_markers(lines(spark, sf))
 
 
-@register("debt_summary", f"SELECT tag, count(*) AS markers FROM ({DEBT}) GROUP BY ROLLUP (tag)")
-def debt_summary(spark, sf):
-    return X.debt_markers(lines(spark, sf)).rollup("tag").agg(F.count("*").alias("markers"))
-
-
 IDENTS = "SELECT DISTINCT path, ident FROM (SELECT 'tests/test_' || CAST(conv_id AS STRING) || '.py' AS path, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS ident FROM conversations)"
 NAMED = "SELECT 'doc:' || CAST(doc_id AS STRING) AS id, regexp_extract(text, '[A-Za-z_][A-Za-z0-9_]*', 0) AS name, CASE WHEN lang = 'en' THEN 'the' END AS cls FROM {documents}"
 SEEN = f"SELECT DISTINCT n.id, i.path FROM ({A.text(NAMED)}) AS n JOIN ({IDENTS}) AS i ON i.ident = n.name WHERE n.cls IS NULL OR (i.path, n.cls) IN (SELECT path, ident FROM ({IDENTS}))"
@@ -453,8 +453,8 @@ search("search_all", f"layer = 'service' AND lang = 'java' AND contains(file, 'b
 CODE = "CASE WHEN lang IN ('py', 'ruby', 'elixir') THEN regexp_replace(text, '#.*$', '', 'g') ELSE regexp_replace(text, '//.*$|/\\*.*?\\*/|^\\s*\\*.*$|/\\*.*$', '', 'g') END"
 SHAPE = f"CASE WHEN regexp_matches(raw, '^[0-9\"'']') AND raw NOT IN ('''', '\"') THEN 'LIT' WHEN regexp_matches(raw, '^[A-Za-z_]') AND lower(raw) NOT IN ({', '.join(q(k) for k in X.KEYWORDS)}) THEN 'ID' ELSE raw END"
 TOKS = f"SELECT path, row_number() OVER (PARTITION BY path ORDER BY line_no, k) AS pos, line_no, {SHAPE} AS tok FROM (SELECT path, line_no, k, l[k] AS raw FROM (SELECT path, line_no, regexp_extract_all({CODE}, {q(X.TOKEN)}) AS l FROM ({LINES})), unnest(range(1, len(l) + 1)) AS r(k))"
-BODY = f"SELECT path, count(*) AS n, substr(sha1(string_agg(tok, ' ' ORDER BY pos)), 1, 12) AS hash FROM ({TOKS}) GROUP BY path HAVING count(*) >= 30"
-CLUSTERS = f"SELECT hash, count(*) AS nodes, min(n) AS tokens FROM ({BODY}) GROUP BY hash HAVING count(*) >= 2"
+BODY = f"SELECT path, count(*) AS n, substr(sha1(string_agg(tok, ' ' ORDER BY pos)), 1, 12) AS hash, CAST(max(line_no) - min(line_no) + 1 AS BIGINT) AS loc FROM ({TOKS}) GROUP BY path HAVING count(*) >= 30"
+CLUSTERS = f"SELECT hash, count(*) AS nodes, min(n) AS tokens, CAST(sum(loc) - max(loc) AS BIGINT) AS spare FROM ({BODY}) GROUP BY hash HAVING count(*) >= 2"
 GRAMS = f"SELECT path, pos, ('0x' || substr(md5(array_to_string(run, ' ')), 1, 15))::BIGINT AS h FROM (SELECT path, pos, list(tok) OVER (PARTITION BY path ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS run FROM ({TOKS})) WHERE len(run) = 10"
 PRINTS = f"SELECT DISTINCT path, b.p AS pos, -b.m AS h FROM (SELECT path, max({{'m': -h, 'p': pos}}) OVER w AS b, count(*) OVER w AS n FROM ({GRAMS}) WINDOW w AS (PARTITION BY path ORDER BY pos ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)) WHERE n = 21"
 PAIRS = f"WITH p AS MATERIALIZED ({PRINTS}), b AS MATERIALIZED ({BODY}), hot AS (SELECT h FROM p GROUP BY h HAVING count(*) BETWEEN 2 AND 50), f AS (SELECT p.*, b.hash FROM p SEMI JOIN hot USING (h) LEFT JOIN b ON b.path = p.path) SELECT x.path AS a, y.path AS b, x.h, x.pos AS pa, y.pos AS pb FROM f AS x JOIN f AS y ON x.h = y.h AND (x.path < y.path OR (x.path = y.path AND y.pos - x.pos >= 30)) WHERE x.path = y.path OR x.hash IS NULL OR x.hash IS DISTINCT FROM y.hash"
@@ -487,10 +487,10 @@ def clone_clusters(spark, sf):
     return clones.clusters(clones.bodies(toks(spark, sf)))
 
 
-@register("clone_summary", f"SELECT count(*) AS clusters, CAST(coalesce(sum(nodes), 0) AS BIGINT) AS nodes_involved, CAST(coalesce(sum(tokens * (nodes - 1)), 0) AS BIGINT) AS duplicated_tokens FROM ({CLUSTERS})")
+@register("clone_summary", f"SELECT count(*) AS clusters, CAST(coalesce(sum(nodes), 0) AS BIGINT) AS nodes_involved, CAST(coalesce(sum(tokens * (nodes - 1)), 0) AS BIGINT) AS duplicated_tokens, CAST(coalesce(sum(spare), 0) AS BIGINT) AS duplicated_lines FROM ({CLUSTERS})")
 def clone_summary(spark, sf):
     c = clones.clusters(clones.bodies(toks(spark, sf)))
-    return c.agg(F.count("*").alias("clusters"), F.coalesce(F.sum("nodes"), F.lit(0)).alias("nodes_involved"), F.coalesce(F.sum(F.col("tokens") * (F.col("nodes") - 1)), F.lit(0)).alias("duplicated_tokens"))
+    return c.agg(F.count("*").alias("clusters"), F.coalesce(F.sum("nodes"), F.lit(0)).alias("nodes_involved"), F.coalesce(F.sum(F.col("tokens") * (F.col("nodes") - 1)), F.lit(0)).alias("duplicated_tokens"), F.coalesce(F.sum("spare"), F.lit(0)).alias("duplicated_lines"))
 
 
 @register("kgrams", f"SELECT path, CAST(pos AS INT) AS pos, h FROM ({GRAMS})")

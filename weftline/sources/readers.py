@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import text as X
 from weftline.operators.graph import known_edges
 
 
+def walk(spark: SparkSession, *roots: str) -> DataFrame:
+    """(path, lang, text) of the source files under roots: those of a known language, outside folders of generated files. A file's listing, not its bytes, decides."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(roots))
+    known = found.select("path", X.lang_of(F.col("path")).alias("lang"), "content").where(F.col("lang").isNotNull() & ~F.col("path").rlike(X.SKIP_DIRS))
+    return known.select("path", "lang", F.decode("content", "UTF-8").alias("text"))
+
+
 def read_graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose ends exist, from columns json of one object a row."""
     n = nodes.select(F.from_json("json", "id string").alias("j")).select("j.id")
